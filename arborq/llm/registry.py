@@ -1,6 +1,6 @@
 """The queries of this package for __spark_entry__.py, and the SQL that some of them can be checked with."""
 
-from arborq.llm import bestfit, bitpack, licenses, media, mixing, quality, secretscan, tokencount, urlrep
+from arborq.llm import bestfit, bitpack, jaccard, licenses, media, mixing, quality, secretscan, tokencount, urlrep
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         tokencount.op6_token_counts,
         licenses.op7_license_sentences,
         media.op8_png_media,
+        jaccard.op9_jaccard_join,
         mixing.op10_hierarchical_mix,
     )
 }
