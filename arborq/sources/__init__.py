@@ -1,0 +1 @@
+"""Formats: text to values and back (codecs), guessing (guess), tables of documents (documents)."""
