@@ -532,6 +532,10 @@ class Compiler:
         return Typed(places, array(LONG))
 
     def delete(self, e, t):
+        if e.args[0].op == ",":
+            for part in reversed(spread(e.args[0])):
+                t = self.delete(Expr("del", [part]), t)
+            return t
         path = self.path_of(e.args[0])
         if len(path) == 1 and isinstance(path[0], str) and isinstance(t.kind, T.StructType):
             return struct([(n, get(t, n)) for n in t.kind.names if n != path[0]])
@@ -561,6 +565,19 @@ class Compiler:
     def any_true(self, r: Typed) -> Column:
         return F.exists(r.value, lambda x: truthy(Typed(x, r.kind))) if r.many else truthy(r)
 
+    def condition(self, e: Expr, t: Typed) -> Column:
+        """A predicate for keeping rows: null counts as false there, so comparisons need no coalesce and reach the scan."""
+        if e.op in ("and", "or"):
+            a, b = (self.condition(x, t) for x in e.args)
+            return a & b if e.op == "and" else a | b
+        if e.op in ("==", "<", "<=", ">", ">=") and e.args[1].op == "lit" and e.args[1].value is not None:
+            a, b = self.run(e.args[0], t), literal(e.args[1].value)
+            glob = is_text(b.kind) and ("*" in e.args[1].value or "?" in e.args[1].value)
+            if not a.many and not glob and (is_number(a.kind) and is_number(b.kind) or a.kind == b.kind):
+                x, y = a.value, b.value
+                return {"==": lambda: x == y, "<": lambda: x < y, "<=": lambda: x <= y, ">": lambda: x > y, ">=": lambda: x >= y}[e.op]()
+        return self.any_true(self.run(e, t))
+
     def filter(self, e, t):
         return Typed(self.select(e, self.splat(Expr("splat", [Expr("self")]), t)).value, array(t.kind.elementType))
 
@@ -745,6 +762,7 @@ class Compiler:
         return Typed(F.map_from_entries(kept), T.MapType(TEXT, t.kind.elementType))
 
     def first(self, e, t):
+        """Null where an array has none, as a column has a value in every row."""
         s = self.splat(Expr("splat", [Expr("self")]), t)
         if e.args:
             s = self.select(e, s)

@@ -127,7 +127,7 @@ class Tables:
         if e.op == "self":
             return f
         if e.op == "select":
-            return replace(f, df=f.df.where(self.compiler.any_true(self.compiler.run(e.args[0], f.typed))))
+            return replace(f, df=f.df.where(self.compiler.condition(e.args[0], f.typed)))
         if e.op == "empty":
             return replace(f, df=f.df.limit(0))
         if e.op == ",":

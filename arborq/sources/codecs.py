@@ -418,22 +418,22 @@ def convert(s: str, source: str, target: str, **options) -> str:
 
 #: Signs of the formats in the first characters of a text.
 SIGNS = {
-    "json": (r'^\s*[\[{]', r'"[^"\n]*"\s*:\s*', r'^\s*(?:true|false|null|-?\d[\d.]*|"[^"\n]*")\s*$', r'[\]}]\s*$'),
+    "json": (r'\A\s*[\[{]', r'"[^"\n]*"\s*:\s*', r'\A\s*(?:true|false|null|-?\d[\d.]*|"[^"\n]*")\s*\Z', r'[\]}]\s*\Z'),
     "yaml": (r"^---(?:\s|$)", r"^[ ]*[\w.-]+:(?:\s|$)", r"^[ ]*- \S", r"^[ ]*[\w.-]+:\s*[|>][+-]?$", r"(?:^|\s)[&*]\w+"),
     "toml": (r"^\s*\[{1,2}[\w.\"'-]+\]{1,2}\s*$", r"^\s*[\w.\"-]+\s*=\s*\S", r"^\s*[\w.-]+\s*=\s*\d{4}-\d\d-\d\d"),
     "csv": (r"^[^,\n{}\[\]:=]+(?:,[^,\n{}\[\]:=]*)+$\n^[^,\n]*(?:,[^,\n]*)+$", r'^"[^"]*"(?:,"[^"]*")+$'),
-    "python": (r"\b(?:True|False|None)\b", r"^\s*[\[{(].*'[^'\n]*'\s*[:,]", r"\([^()\n]*,[^()\n]*\)"),
+    "python": (r"\b(?:True|False|None)\b", r"^\s*[\[{(].*'[^'\n]*'\s*[:,]", r"'[^'\n]*'\s*:", r"\([^()\n]*,[^()\n]*\)"),
     "javascript": (r"^\s*(?:export default|module\.exports|const |let |var )", r"[{,]\s*[A-Za-z_$][\w$]*\s*:", r"//[^\n]*$|/\*", r",\s*[\]}]", r"\bundefined\b"),
 }
 LOOKED_AT, PER_HIT, PER_RIVAL = 1024, 15, 5
 
 
 def guess_format(s: str) -> str:
-    """By signs in the first characters, less for signs that several formats have; json where nothing speaks."""
+    """By signs in the first characters, less for signs that several formats have; json where nothing speaks, and last of equals."""
     head = s[:LOOKED_AT]
     hits = {name: sum(re.search(p, head, re.M) is not None for p in signs) for name, signs in SIGNS.items()}
     rivals = sum(n > 0 for n in hits.values()) - 1
-    best = max(FORMATS, key=lambda n: (hits[n] * PER_HIT - rivals * PER_RIVAL * (hits[n] > 0), -FORMATS.index(n)))
+    best = max(FORMATS, key=lambda n: (hits[n] * PER_HIT - rivals * PER_RIVAL * (hits[n] > 0), n != "json", -FORMATS.index(n)))
     return best if hits[best] else "json"
 
 

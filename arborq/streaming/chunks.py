@@ -120,8 +120,8 @@ def batch_patches(chunks: DataFrame) -> DataFrame:
 
 def latest_snapshots(rows: DataFrame) -> DataFrame:
     """Patches to each document's latest authoritative snapshot: the newest request that ended; its node rows."""
-    ended = rows.where("op = 'ended'").groupBy("document_key").agg(F.max("request_seq").alias("request_seq"))
-    return rows.where("op = 'inserted'").join(ended, ["document_key", "request_seq"]).select("document_key", F.col("request_seq").alias("snapshot"), "node_id", "path_text", "kind", "tag", "value")
+    ended = rows.where("op = 'ended'").groupBy(F.col("document_key").alias("__key")).agg(F.max("request_seq").alias("__seq"))
+    return rows.where("op = 'inserted'").join(ended, (F.col("document_key") == F.col("__key")) & (F.col("request_seq") == F.col("__seq"))).select("document_key", F.col("request_seq").alias("snapshot"), "node_id", "path_text", "kind", "tag", "value")
 
 
 def split_chunks(df: DataFrame, key: Column, text: Column, size: int | None = None, request_seq: int = 0) -> DataFrame:
