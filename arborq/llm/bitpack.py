@@ -28,6 +28,7 @@ from arborq.llm.tokenizing import encoder, tokenizer_path
 MAGIC, VERSION, BLOCK, LANES = b"AQID", 1, 4096, 64
 #: A chunk is closed once it has so many ids; only a document longer than that makes a larger one.
 CHUNK_IDS = 1 << 20
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 HEAD = struct.Struct("<4sHBBIIIIQQ")
 
 
@@ -42,7 +43,10 @@ def pack(ids: np.ndarray, width: int) -> bytes:
     """Ids below 2 ** width, in groups of 64 that take width 64-bit words each; the last group is filled with zeros."""
     if len(ids) and int(ids.max()) >> width:
         raise ValueError(f"an id needs more than {width} bits")
-    lanes = np.zeros(-(-len(ids) // LANES) * LANES, np.uint64)
+    filled = -(-len(ids) // LANES) * LANES
+    if width in WHOLE:  # the same layout: an id lies in whole bytes
+        return ids.astype(WHOLE[width]).tobytes() + bytes((filled - len(ids)) * width // 8)
+    lanes = np.zeros(filled, np.uint64)
     lanes[: len(ids)] = ids
     lanes = lanes.reshape(-1, LANES)
     words = np.zeros((len(lanes), width), np.uint64)
@@ -55,6 +59,8 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 
 def unpack(data: bytes | memoryview, n: int, width: int) -> np.ndarray:
+    if width in WHOLE:
+        return np.frombuffer(data, WHOLE[width], n).astype(np.uint32)
     words = np.frombuffer(data, "<u8").reshape(-1, width)
     lanes, mask = np.empty((len(words), LANES), np.uint32), np.uint64((1 << width) - 1)
     for j in range(LANES):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from array import array
 
 import regex
@@ -17,14 +18,16 @@ from tokenizers import Tokenizer
 
 #: The pattern of byte-level pre-tokenizers, as the format defines it.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Latin letters without combining marks or the dotted capital I, common spaces and typographic marks.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-įı-ɏ‐-‧]*+")
-KEPT = 250_000
-LONGEST = 64
+#: Anything but Latin letters without combining marks or the dotted capital I, common spaces and typographic marks.
+NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f\u2010-\u2027]").search
+#: Where white space touches white space, a byte-level pattern looks further than to the next character. Without these, a
+#: pre-token begins at every space, and a line feed is one of its own.
+AMBIGUOUS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\xa0")
+KEPT_WORDS, KEPT_CHUNKS, LONGEST = 400_000, 300_000, 64
 
 
 class _Ids(dict):
-    """Pre-token to the bytes of its ids (unsigned, little-endian, 32 bits); holds at most KEPT of them."""
+    """Pre-token to the bytes of its ids (unsigned, little-endian, 32 bits); holds at most KEPT_WORDS of them."""
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
@@ -32,11 +35,25 @@ class _Ids(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = le_bytes(self.encode(word, add_special_tokens=False).ids)
-        if len(self) < KEPT and len(word) <= LONGEST:
+        if len(self) < KEPT_WORDS and len(word) <= LONGEST:
             self[word] = ids
         return ids
 
 
+class _Chunks(dict):
+    """Text between two edges that are edges of pre-tokens anyway, to the bytes of its ids; at most KEPT_CHUNKS."""
+
+    def __init__(self, find, ids: _Ids):
+        super().__init__()
+        self.find, self.ids = find, ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = b"".join(map(self.ids.__getitem__, self.find(chunk)))
+        if len(self) < KEPT_CHUNKS and len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
+
+
 def le_bytes(ids: list[int]) -> bytes:
     a = array("I", ids)
     assert a.itemsize == 4
@@ -50,8 +67,9 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         added = [regex.escape(x["content"]) for x in spec.get("added_tokens") or []]
         self.special = regex.compile("|".join(added)) if added else None
-        self.ids = _Ids(self.tokenizer)
         self.lower, self.find = self._splitter(spec)
+        self.ids = _Ids(self.tokenizer)
+        self.chunks = _Chunks(self.find, self.ids)
 
     @staticmethod
     def _splitter(spec: dict):
@@ -71,9 +89,13 @@ class Encoder:
         """The ids of one text as little-endian unsigned 32-bit integers; null counts as empty."""
         if not text:
             return b""
-        if self.find is None or not PLAIN.fullmatch(text) or (self.special is not None and (self.special.search(text) or self.lower and self.special.search(text.lower()))):
+        if self.find is None or NOT_PLAIN(text) or (self.special is not None and (self.special.search(text) or self.lower and self.special.search(text.lower()))):
             return le_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.ids.__getitem__, self.find(text.lower() if self.lower else text)))
+        if self.lower:  # white space is dropped
+            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        if any(x in text for x in AMBIGUOUS):
+            return b"".join(map(self.ids.__getitem__, self.find(text)))
+        return b"".join(map(self.chunks.__getitem__, text.replace(" ", "\1 ").replace("\n", "\1\n\1").split("\1")))
 
 
 @functools.lru_cache(maxsize=4)
