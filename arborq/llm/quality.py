@@ -207,4 +207,4 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
 
 def op1_divergence_quality(spark, sf_dir: str) -> DataFrame:
     """All of documents, with references from all of documents."""
-    return score(common.table(spark, sf_dir, "documents"))
+    return score(common.table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")

@@ -1,6 +1,6 @@
 """The queries of this package for __spark_entry__.py, and the SQL that some of them can be checked with."""
 
-from arborq.llm import bestfit, bitpack, jaccard, licenses, media, mixing, quality, secretscan, tokencount, urlrep
+from arborq.llm import bestfit, bitpack, jaccard, licenses, media, mixing, quality, secretscan, sql, tokencount, urlrep
 
 QUERIES = {
     f.__name__: f
@@ -17,4 +17,4 @@ QUERIES = {
         mixing.op10_hierarchical_mix,
     )
 }
-ORACLE_SQL = {"op4_url_reputation": urlrep.sql()}
+ORACLE_SQL = {"op1_divergence_quality": sql.op1(), "op4_url_reputation": urlrep.sql(), "op5_secret_scan": sql.op5(), "op9_jaccard_join": sql.op9()}
