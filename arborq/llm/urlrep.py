@@ -80,7 +80,7 @@ def strength(children: DataFrame, key: str, most: float) -> DataFrame:
     return sums.select(key, worth.alias("worth"))
 
 
-def reputation(pages: DataFrame, most: float = 50.0, limit: float = 0.2, z: float = 1.0) -> DataFrame:
+def reputation(pages: DataFrame, most: float = 50.0, limit: float = 0.5, z: float = 1.0) -> DataFrame:
     """pages (host, bad boolean or null where unlabelled) to one row for each host: rows, outcomes, bad rate, bound, block.
 
     Levels above the host are counted from host counts, so the pages are shuffled once, pre-aggregated. The table of
@@ -155,7 +155,7 @@ def sql_strength(children: str, key: str, name: str, most: float) -> str:
       SELECT {key}, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, sum(bad::DOUBLE * bad / n) AS q, count(*)::DOUBLE AS k FROM {children} GROUP BY {key}))))"""
 
 
-def sql(most: float = 50.0, limit: float = 0.2, z: float = 1.0) -> str:
+def sql(most: float = 50.0, limit: float = 0.5, z: float = 1.0) -> str:
     def case(field: str) -> str:
         arms = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, field)}'" for r in sorted(RULES, key=lambda r: -len(r.text)))
         return f"CASE {arms} END"
