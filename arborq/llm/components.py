@@ -26,7 +26,7 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of whole numbers, in any order, repeated or not; (node, component) of every node on an edge that is not
     its component's smallest. Nothing but a sum and a count of each round reaches the driver."""
-    now = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = common.cut(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     was = None
     for _ in range(MOST_ROUNDS):
         now = common.cut(star(star(now, large=True), large=False))

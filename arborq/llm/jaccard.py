@@ -3,8 +3,8 @@
 1. classes(): texts with the same words in the same order are one class, whatever their number; one text of each goes on.
    The same pass counts all shingles in a table of fixed size, by which the rarest go first.
 2. prefixes(): of each set in rare-first order, the front part that any linked set must touch.
-3. stars(): sets that share a prefix shingle meet, ordered by length. The first that can link at all is compared with
-   each other one: as many pairs as rows, not all pairs of the group. Pairs pass the length and positional filters.
+3. stars(): sets that share a prefix shingle meet. The one with the least of its own is compared with each other one: as
+   many pairs as rows, not all pairs of the group. Pairs pass the length and positional filters.
 4. verify(): each distinct pair once: the suffix filter (a bound from histograms of the two sets), then the two sets.
 5. rest(): where a shingle's sets still lie in different components, the pairs across components pass the same filters
    and the triangle inequality through the star's middle, whose distances are known. What is left is verified.
@@ -185,38 +185,40 @@ def can_link(size_a, pos_a, size_b, pos_b):
 STARS_DDL = "token long, pivot long, pivot_size int, doc long, size int, pos int, near boolean"
 
 
+def in_group(rows: DataFrame) -> DataFrame:
+    """Rows by shingle, and in each group by how far in front the shingle stands: a set with little of its own comes first.
+    Sets in which it stands so far back that only shorter ones can link come last."""
+    behind = f"size - pos < ceil({UP} * 2 * size / {UP + DOWN}.0)"
+    return rows.repartition("token").sortWithinPartitions("token", F.expr(behind), "pos", "size", "doc")
+
+
 def stars(rows: DataFrame) -> DataFrame:
     """Prefix rows to a row for each set of a group but the pivot; near: the pair with the pivot passes the filters.
 
-    The pivot is the shortest set (of equals, the lowest doc_id) with the shingle so far in front that a set no shorter
-    can link with it; those before it cannot link with any of the group. Sorted rows stream by: a group takes no memory.
+    Of two linked sets the shorter one has the shingle far enough in front to link with a set of its own length. The pivot
+    is the first such set, the one with the least of its own: of edited copies, the original or the closest to it. A
+    group without such a set has no links. Sorted rows stream by: a group takes no memory.
     """
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # token, doc, size and pos of the pivot of the group that the previous batch ended in
+        last = None  # token, doc, size and pos of the first row of the group that the previous batch ended in
         for batch in batches:
             token, doc, size, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            able = size - pos >= least_overlap(size, size)
             if last is not None:
-                token, doc, size, pos = (np.concatenate([[x], a]) for x, a in zip(last, (token, doc, size, pos), strict=True))
-                able = np.concatenate([[True], able])
-            # once one of a group is able, it is the pivot for all behind it
-            fresh = np.concatenate([[True], token[1:] != token[:-1]])
-            group = np.cumsum(fresh) - 1
-            rank = np.where(able, np.arange(len(token)), len(token))
-            first = np.minimum.reduceat(rank, np.flatnonzero(fresh))
-            pivot = first[group]
-            inner = np.flatnonzero(pivot < np.arange(len(token)))
-            p = pivot[inner]
-            inner, p = inner[doc[inner] != doc[p]], p[doc[inner] != doc[p]]
-            if len(inner):
-                near = can_link(size[p].astype(np.int64), pos[p].astype(np.int64), size[inner].astype(np.int64), pos[inner].astype(np.int64))
-                columns = [token[inner], doc[p], size[p].astype(np.int32), doc[inner], size[inner].astype(np.int32), pos[inner].astype(np.int32), near]
+                token, doc, size, pos = (np.concatenate([np.array([x], a.dtype), a]) for x, a in zip(last, (token, doc, size, pos), strict=True))
+            starts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1])
+            pivot = np.repeat(starts, np.diff([*starts.tolist(), len(token)]))
+            size, pos = size.astype(np.int64), pos.astype(np.int64)
+            own = np.flatnonzero((size - pos >= least_overlap(size, size))[pivot] & (doc != doc[pivot]))
+            if len(own):
+                p = pivot[own]
+                near = can_link(size[p], pos[p], size[own], pos[own])
+                columns = [token[own], doc[p], size[p].astype(np.int32), doc[own], size[own].astype(np.int32), pos[own].astype(np.int32), near]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "pivot", "pivot_size", "doc", "size", "pos", "near"])
-            end = first[-1]
-            last = (token[end], doc[end], size[end], pos[end]) if end < len(token) else None
+            k = int(starts[-1])
+            last = token[k], doc[k], size[k], pos[k]
 
-    return rows.repartition("token").sortWithinPartitions("token", "size", "doc").mapInArrow(paired, STARS_DDL)
+    return in_group(rows).mapInArrow(paired, STARS_DDL)
 
 
 def wanted(ids: DataFrame) -> np.ndarray:
@@ -335,7 +337,7 @@ def rest(groups: DataFrame) -> DataFrame:
             yield from close()
 
     rows = groups.select("token", "doc", "size", "pos", "comp", "far")
-    return rows.repartition("token").sortWithinPartitions("token", "size", "doc").mapInArrow(crossing, "a long, b long")
+    return rows.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(crossing, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -367,7 +369,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     more = common.cut(rest(open_).distinct())
     if not more.isEmpty():
         more = more.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        linked = linked.union(links(verify(rows, more)))
+        linked = linked.union(links(common.cut(verify(rows, more))))
         parts = components(linked)
 
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
