@@ -1,4 +1,4 @@
-"""The queries of the reference's own operators: an expression over a table, with SQL that says the same."""
+"""The queries of the engine's own operators: an expression over a table, with SQL that says the same."""
 
 from __future__ import annotations
 
