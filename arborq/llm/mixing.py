@@ -153,11 +153,13 @@ def mix(docs: DataFrame, tree: Node, levels: list[Column], amount: int | None =
     sums = part.groupBy("__leaf", "__rest", "__bucket").agg(F.sum("__tokens").alias("__n"))  # at most 4096 rows a leaf
     reached = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).where("__before < __rest AND __before + __n >= __rest")
     edge = reached.select("__leaf", "__bucket", "__before")
-    within = Window.partitionBy("__leaf").orderBy("__order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("__leaf").orderBy("__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = (
         part.join(F.broadcast(edge), ["__leaf", "__bucket"])  # a row a leaf of the tree
+        .groupBy("__leaf", "__rest", "__before", "__order")  # equal rows are one step of the order
+        .agg(F.sum("__tokens").alias("__tokens"))
         .withColumn("__through", F.col("__before") + F.sum("__tokens").over(within))
-        .where("__through - __tokens < __rest AND __through >= __rest")
+        .where("__through >= __rest")
         .groupBy("__leaf")
         .agg(F.min("__order").alias("__last"))
     )

@@ -284,6 +284,16 @@ def test_mixture_matches_a_plain_version(spark):
     assert sorted(map(tuple, mixing.op10_hierarchical_mix(spark, "/root/testdata/sf0.01").collect())) == brute_mix(rows, 0.5, 2)
 
 
+def test_equal_rows_at_a_leaf_target_come_together(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    for ids in ([None] * 9, [7] * 9, [1, 1, 1, 2, 2, 2, 3, 3, 3], [1, 2, 3, 3, 3, 3, 4, 5, 6]):
+        rows = [(d, "x" * 40, "en", "src0") for d in ids]
+        for fraction in (0.1, 0.25, 0.6, 1.3):
+            got = mixing.mixture(spark.createDataFrame(rows, schema), fraction=fraction).collect()
+            assert sorted((r.doc_id, r["__tokens"], r["__copies"]) for r in got) == [(d, n, c) for d, _, n, c in brute_mix(rows, fraction, 2)]
+            assert sum(r["__tokens"] * r["__copies"] for r in got) >= int(90 * fraction)
+
+
 def test_mixture_of_odd_rows(spark, odd, none):
     mixed = mixing.mixture(odd, fraction=1.0)
     assert set(odd.columns) < set(mixed.columns)
