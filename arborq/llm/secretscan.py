@@ -23,6 +23,8 @@ from arborq.llm.automaton import Dfa, Parser, build, reverse
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret. keep: a narrower pattern that a match must also fit, or it is dropped; it still uses its text up.
+    lead: what every match begins with and what is one itself; the pass over all bytes looks for it alone, so that a long
+    rest does not multiply the states of the combined automaton.
 
     A match must not contain a later-starting match of its own rule that ends before its own first possible end.
     """
@@ -30,6 +32,7 @@ class Rule:
     kind: str
     pattern: str
     keep: str | None = None
+    lead: str | None = None
 
 
 #: The contract's three kinds. Bounds on lengths stand in keep, so that the automaton counts no further than
@@ -40,9 +43,15 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16,}"),
     Rule("hex", "[0-9a-f]{24,}"),
 )
+#: A private key runs from its header to its footer over anything without five dashes in a row; without a footer (a text
+#: cut off), over the header's long base64 lines and the shorter line behind them; else it is the header alone.
+NAME = "(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+BODY = r"(?:-{0,4}(?:[^-]|[\x80-\xFF]))*"
+BREAK = r"(?:[\x20\t\r\n]|\\[nr])+"
+CUT = f"(?:{BREAK}[A-Za-z0-9+/=]{{32,}})+(?:{BREAK}[A-Za-z0-9+/=]+)?"
 #: Further kinds by their public formats.
 MORE = (
-    Rule("private_key", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    Rule("private_key", f"-----BEGIN {NAME}(?:{BODY}-----END {NAME}|{CUT})?", lead=f"-----BEGIN {NAME}"),
     Rule("code_host", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -53,10 +62,10 @@ RULES = BASE + MORE
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        trees = [Parser(r.pattern).parse() for r in rules]
-        self.all = build(trees, anywhere=True)
-        self.alone = [build([t], anywhere=False) for t in trees]
-        self.back = [build([reverse(t)], anywhere=False) for t in trees]
+        leads = [Parser(r.lead or r.pattern).parse() for r in rules]
+        self.all = build(leads, anywhere=True)
+        self.alone = [build([Parser(r.pattern).parse()], anywhere=False) for r in rules]
+        self.back = [build([reverse(t)], anywhere=False) for t in leads]
         self.keep = [build([Parser(r.keep).parse()], anywhere=False) if r.keep else None for r in rules]
 
     def ends(self, data: bytes) -> Iterator[tuple[int, int]]:
