@@ -191,6 +191,43 @@ def test_licences(spark, odd, none):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(none).count() == 0
 
 
+def test_licences_in_any_layout(spark):
+    import textwrap
+
+    S = licenses.SENTENCES
+    whole = {
+        "MIT": [S["mit-grant"], S["mit-notice"], S["mit-warranty"]],
+        "ISC": [S["isc-grant"]],
+        "BSD-3-Clause": ["All rights reserved.", S["bsd-grant"], "1. " + S["bsd-source"], "2. " + S["bsd-binary"], "3. " + S["bsd-endorse"].replace("<>", "Example, Inc.")],
+        "GPL-3.0-or-later": [S["gpl-free"]],
+        "GPL-2.0-or-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+        "LGPL-2.1-or-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+        "AGPL-3.0-only": ["Example is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3."],
+        "Apache-2.0": [S["apache-head"] + " " + S["apache-use"], S["apache-copy"] + "\n\n    http://www.apache.org/licenses/LICENSE-2.0"],
+        "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    }
+    want, rows = [], []
+    for name, parts in whole.items():
+        for width in (40, 72, 10_000):
+            lines = "\n\n".join("\n".join(textwrap.wrap(x, width)) for x in parts).split("\n")
+            for mark in ("", "# ", " * ", "// ", "-- ", ";; ", "> ", "dnl ", "REM "):
+                for end in ("\n", "\r\n"):
+                    rows.append((len(rows), "Copyright (c) 2020 Example" + end + end + end.join((mark + x).rstrip() for x in lines) + end + "int main() {"))
+                    want.append(name)
+    for text, names in (
+        ("// SPDX-License-Identifier: GPL-2.0+ WITH Linux-syscall-note", "GPL-2.0-or-later"), ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) */\nx", "Apache-2.0,MIT"), ("<!-- SPDX-License-Identifier: CC0-1.0 -->", "CC0-1.0"),
+        ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n", "GPL-2.0-only"), ("Apache License\n  Version 2.0, January 2004\n http://www.apache.org/licenses/", "Apache-2.0"), ("All rights reserved by them.\nThe MIT License is short.", ""),
+    ):
+        rows.append((len(rows), text))
+        want.append(names)
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [(want[k], rows[k][1], x) for k, x in got.items() if x != want[k]]
+    known = licenses.Recogniser()
+    for sentence in (*S, *licenses.MADE):
+        text = S.get(sentence, sentence).replace("<>", "Example, Inc.")
+        assert len(known.identifiers(text)) == 1, text
+
+
 def test_every_planted_licence_line_is_found(spark, sf):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "All rights reserved.": "Proprietary"}
     docs = documents(spark, "/root/testdata/sf0.01")
