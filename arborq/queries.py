@@ -229,6 +229,15 @@ def diff_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.diff(*orders_versions(spark, sf_dir)).select("doc_id", "path_text", "op")
 
 
+def diff_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence with an element put in front, one changed inside and one at the end taken away."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("doc_id"), F.col("o_orderkey").cast("string").alias("k"))
+    element = lambda x: F.concat(F.lit('{"k":'), F.col("k"), F.lit(f',"n":{x}}}'))
+    old = F.concat(F.lit('{"a":['), *[p for x in range(4) for p in (element(x), F.lit(","))], F.lit('"end"],"b":[1,2]}'))
+    new = F.concat(F.lit('{"b":[1,3],"a":["front",'), *[p for x in range(4) for p in (element(x), F.lit("," if x < 3 else "]}"))])
+    return nodes.diff(nodes.node_table(o.select("doc_id", old.alias("text"))), nodes.node_table(o.select("doc_id", new.alias("text"))))
+
+
 def same_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.same_structure(*orders_versions(spark, sf_dir))
 
@@ -322,6 +331,7 @@ NODES = {
     "header_table": (header_tables, "SELECT DISTINCT n_regionkey::BIGINT AS doc_id, p.path AS path_text, p.h AS has_header FROM nation, (VALUES ('$.rows', true), ('$.plain', false), ('$.plain[0]', false), ('$.plain[1]', false)) p(path, h)"),
     "table_cells": (table_cells, "SELECT n_regionkey::BIGINT AS doc_id, 'id' AS \"column\", count(*) AS n, 0::BIGINT AS n_missing FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, 'even', count(*), sum(n_nationkey % 2)::BIGINT FROM nation GROUP BY 1 HAVING bool_or(n_nationkey % 2 = 0)"),
     "diff_versions": (diff_versions, "SELECT o_orderkey AS doc_id, p.path AS path_text, 'delete' AS op FROM orders, (VALUES ('$'), ('$.o_orderkey'), ('$.o_custkey'), ('$.o_orderstatus')) p(path) WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, '$.o_orderstatus', 'change' FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 7 = 0"),
+    "diff_sequences": (diff_sequences, "SELECT o_orderkey::BIGINT AS doc_id, p.path AS path_text, p.op AS op, p.a AS value_old, p.b AS value_new FROM orders, (VALUES ('$.a[0]', 'insert', NULL, 'front'), ('$.a[4]', 'delete', 'end', NULL), ('$.b[1]', 'change', '2', '3')) p(path, op, a, b)"),
     "structured_equality": (same_structure, "SELECT o_orderkey AS doc_id, o_orderkey % 7 <> 0 AS same FROM orders WHERE o_orderkey % 10 <> 0"),
     "graph_delta": (delta, "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 10 = 0 THEN 'removed' ELSE 'updated' END AS op FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 = 0"),
     "line_diff": (line_diff, "SELECT p_partkey AS doc_id, 'delete' AS op, 1::INT AS line, p_name AS text FROM part UNION ALL SELECT p_partkey, 'insert', 1, p_brand FROM part UNION ALL SELECT p_partkey, 'insert', 3, 'end' FROM part"),

@@ -6,6 +6,7 @@ each node's place in bytes. A document is decoded in one task; everything after
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -156,19 +157,16 @@ def search_index(nodes: DataFrame, needle: str | None = None) -> DataFrame:
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Two node tables by document and path: rows inserted, deleted or changed. Order of keys does not matter; elements of
-    sequences are compared place by place (diff_sequences aligns them)."""
+    sequences are aligned (diff_sequences), so paths of deleted rows are those in old and of inserted ones those in new.
+    Tables of flat rows, which have no sequences, are joined by path."""
+    if "seq_index" in old.columns and "seq_index" in new.columns:
+        return diff_sequences(old, new)
     side = lambda df, s: df.select("doc_id", "path_text", F.col("tag").alias(f"tag_{s}"), F.col("value").alias(f"value_{s}"))
     both = side(old, "old").join(side(new, "new"), ["doc_id", "path_text"], "full")
     op = F.when(F.col("tag_old").isNull(), "insert").when(F.col("tag_new").isNull(), "delete").when(~(F.col("tag_old").eqNullSafe(F.col("tag_new")) & F.col("value_old").eqNullSafe(F.col("value_new"))), "change")
     return both.withColumn("op", op).where("op IS NOT NULL").select("doc_id", "path_text", "op", "value_old", "value_new")
 
 
-def same_structure(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Each document that both have, and whether it is equal in both."""
-    ids = old.select("doc_id").distinct().join(new.select("doc_id").distinct(), "doc_id")
-    return ids.join(diff(old, new).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.col("n").isNull().alias("same"))
-
-
 MOST_EDITS = 1000
 
 
@@ -205,6 +203,120 @@ def walked(trail: list[dict], x: int, y: int) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
+def aligned(a: list, b: list) -> tuple[list[int], list[int]]:
+    """The places of a to delete and of b to insert; what is equal at both ends is left out first."""
+    front = 0
+    while front < min(len(a), len(b)) and a[front] == b[front]:
+        front += 1
+    back = 0
+    while back < min(len(a), len(b)) - front and a[-1 - back] == b[-1 - back]:
+        back += 1
+    x, y = a[front : len(a) - back], b[front : len(b) - back]
+    edits = shortest_edits(x, y)
+    if edits is None:
+        return [front + k for k in range(len(x))], [front + k for k in range(len(y))]
+    return [front + i for op, i, _ in edits if op == "delete"], [front + j for op, _, j in edits if op == "insert"]
+
+
+NODE = ["node_id", "parent_id", "ordinal", "key", "kind", "tag", "value", "path_text"]
+DIFF_DDL = "doc_id long, path_text string, op string, value_old string, value_new string"
+DIFF = pa.schema([("doc_id", pa.int64()), *[(n, pa.string()) for n in ("path_text", "op", "value_old", "value_new")]])
+
+
+class Side:
+    """One document's nodes. same: a number by node, equal for nodes of equal content in any document of `numbers`."""
+
+    def __init__(self, table: pa.Table, numbers: dict):
+        rows = sorted((r for r in zip(*(table.column(n).to_pylist() for n in NODE), strict=True)), key=lambda r: r[0])
+        self.rows = {r[0]: r for r in rows}
+        self.roots = [r[0] for r in rows if r[1] is None]
+        self.inner: dict[int, list[int]] = {r[0]: [] for r in rows}
+        for r in rows:
+            if r[1] is not None:
+                self.inner[r[1]].append(r[0])
+        self.same: dict[int, int] = {}
+        for n, _, _, _, kind, tag, value, _ in reversed(rows):  # nodes are numbered from above
+            self.inner[n].sort(key=lambda k: self.rows[k][2])
+            below = [(self.rows[k][3] or "", self.same[k]) if kind == "map" else self.same[k] for k in self.inner[n]]
+            self.same[n] = numbers.setdefault((kind, tag, value, tuple(sorted(below) if kind == "map" else below)), len(numbers))
+
+    def keyed(self, n: int) -> dict:
+        """Children of a mapping by key; a repeated key counts on."""
+        out: dict = {}
+        for k in self.inner[n]:
+            key, again = self.rows[k][3], 0
+            while (key, again) in out:
+                again += 1
+            out[key, again] = k
+        return out
+
+    def below(self, n: int) -> Iterator[tuple]:
+        todo = [n]
+        while todo:
+            k = todo.pop()
+            yield self.rows[k]
+            todo += self.inner[k]
+
+
+def diff_trees(a: Side, b: Side) -> Iterator[tuple]:
+    """(path, op, old value, new value) from one document to its other version. Of a sequence's elements to delete and to
+    insert, the k-th ones that stand at one place are compared in turn."""
+    todo: list[tuple[int | None, int | None]] = list(itertools.zip_longest(a.roots, b.roots))
+    while todo:
+        x, y = todo.pop()
+        if x is None or y is None:
+            if x is not None:
+                yield from ((r[7], "delete", r[6], None) for r in a.below(x))
+            if y is not None:
+                yield from ((r[7], "insert", None, r[6]) for r in b.below(y))
+            continue
+        if a.same[x] == b.same[y]:
+            continue
+        old, new = a.rows[x], b.rows[y]
+        if old[5:7] != new[5:7]:
+            yield new[7], "change", old[6], new[6]
+        if old[4] == new[4] == "map":
+            left, right = a.keyed(x), b.keyed(y)
+            todo += [(left.get(k), right.get(k)) for k in {**left, **right}]
+        elif old[4] == new[4] == "seq":
+            gone, come = aligned([a.same[k] for k in a.inner[x]], [b.same[k] for k in b.inner[y]])
+            for i, j in itertools.zip_longest(gone, come):
+                if i is not None and i == j:
+                    todo.append((a.inner[x][i], b.inner[y][j]))
+                    continue
+                if i is not None:
+                    todo.append((a.inner[x][i], None))
+                if j is not None:
+                    todo.append((None, b.inner[y][j]))
+        else:
+            todo += [(k, None) for k in a.inner[x]] + [(None, k) for k in b.inner[y]]
+
+
+def diff_sequences(old: DataFrame, new: DataFrame) -> DataFrame:
+    """diff() of node tables with sequences: a document's two versions meet in one task and are compared from the root
+    down, mappings by key, sequences by the fewest edits over the content of their elements (more than MOST_EDITS: place by
+    place). doc_ids are unique; documents with a null doc_id have no other version."""
+
+    def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        numbers: dict = {}
+        doc_id = key[0].as_py()
+        if doc_id is None:
+            rows = [(r["path_text"], "delete", r["value"], None) for r in left.to_pylist()] + [(r["path_text"], "insert", None, r["value"]) for r in right.to_pylist()]
+        else:
+            rows = list(diff_trees(Side(left, numbers), Side(right, numbers)))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.Table.from_arrays([pa.array([doc_id] * len(rows), pa.int64()), *[pa.array(list(c), pa.string()) for c in columns]], schema=DIFF)
+
+    a, b = (df.select("doc_id", *NODE).groupBy("doc_id") for df in (old, new))
+    return a.cogroup(b).applyInArrow(compare, DIFF_DDL)
+
+
+def same_structure(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Each document that both have, and whether it is equal in both."""
+    ids = old.select("doc_id").distinct().join(new.select("doc_id").distinct(), "doc_id")
+    return ids.join(diff(old, new).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.col("n").isNull().alias("same"))
+
+
 def diff_lines(old: DataFrame, new: DataFrame) -> DataFrame:
     """Texts (doc_id, text) line by line: the lines inserted and deleted, with their numbers from 0."""
     both = old.select(F.col("doc_id").cast("long"), F.col("text").alias("a")).join(new.select(F.col("doc_id").cast("long"), F.col("text").alias("b")), "doc_id", "full")

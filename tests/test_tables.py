@@ -149,3 +149,18 @@ def test_command_line(tmp_path, capsys):
     capsys.readouterr()
     assert main([".a += 1", str(f), "-i"]) == 0 and f.read_text() == "a: 2\nb: text\n"
     assert main([".nope(", str(f)]) == 2
+
+
+def test_diff_aligns_sequences(spark):
+    versions = [
+        ("[1,2,3]", "[0,1,2,3]", {("$[0]", "insert")}), ("[1,2,3]", "[1,2,3,4]", {("$[3]", "insert")}), ("[1,2,3]", "[2,3]", {("$[0]", "delete")}), ("[1,2]", "[1,3]", {("$[1]", "change")}), ("[]", "[]", set()),
+        ('{"a":[{"x":1,"y":[1,2]},5]}', '{"a":[{"y":[0,1,2],"x":1},5]}', {("$.a[0].y[0]", "insert")}), ('[{"x":1,"y":2}]', '[{"y":2,"x":1}]', set()), ("[[1],2]", '[{"k":1},2]', {("$[0]", "change"), ("$[0][0]", "delete"), ("$[0].k", "insert")}),
+        ('{"a":1}', '{"b":[7]}', {("$.a", "delete"), ("$.b", "insert"), ("$.b[0]", "insert")}), ("[1]", None, {("$", "delete"), ("$[0]", "delete")}), ('["1"]', "[1]", {("$[0]", "change")}),
+        (str([*range(3000)]), str([-1, *range(3000)]), {("$[0]", "insert")}), (str([*range(1500)]), str([*range(9000, 10500)]), {(f"$[{k}]", "change") for k in range(1500)}),
+    ]
+    old, new = (nodes.node_table(spark.createDataFrame([(k, v[side]) for k, v in enumerate(versions) if v[side] is not None], "doc_id long, text string")) for side in (0, 1))
+    got = [set() for _ in versions]
+    for r in nodes.diff(old, new).collect():
+        got[r.doc_id].add((r.path_text, r.op))
+    assert got == [v[2] for v in versions]
+    assert {r.doc_id for r in nodes.same_structure(old, new).where("same").collect()} == {4, 6}
