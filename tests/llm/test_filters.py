@@ -103,6 +103,15 @@ def test_host_reputation_shrinks_to_its_domain(spark):
     assert got["a.bad.net"].bad_bound <= got["a.bad.net"].bad_rate
 
 
+def test_host_reputation_blocks_by_an_absolute_limit(spark):
+    """Labels below 100 % bad: a mostly bad host is blocked, one at 45 % against 10 % elsewhere is not."""
+    rows = [(f"h{k}.site{k}.org", b) for k in range(30) for b in [True] * 10 + [False] * 90]
+    rows += [("skew.bad.net", k < 450) for k in range(1000)] + [("most.worse.net", k < 800) for k in range(1000)]
+    got = {r.host: r for r in urlrep.reputation(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
+    assert [h for h, r in got.items() if r.block] == ["most.worse.net"]
+    assert 0.4 < got["skew.bad.net"].bad_bound < 0.5 and got["h1.site1.org"].bad_bound < 0.2
+
+
 A = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KINDS = {"assign": A, "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")} | {r.kind: re.compile(r.pattern) for r in secretscan.MORE}
 KEEP = {r.kind: re.compile(r.keep) for r in secretscan.MORE if r.keep}
