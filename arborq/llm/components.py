@@ -34,4 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == was or not mark[0]:
             break
         was = mark
+    else:
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

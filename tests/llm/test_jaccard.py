@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from arborq.llm import jaccard
 from arborq.llm.components import components
 
@@ -114,3 +116,11 @@ def test_filters_keep_every_link():
             a, b = sorted(x), sorted(y)
             common = [t for t in a[: jaccard.prefix_length(len(a))] if t in b[: jaccard.prefix_length(len(b))]]
             assert common and jaccard.can_link(len(a), a.index(common[0]), len(b), b.index(common[0]))
+
+
+def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r.component for r in components(path).collect()} == {0}
+    monkeypatch.setattr("arborq.llm.components.MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        components(path)
