@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,16 +22,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint: a lost executor costs no recomputation, and two uses read the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows of a file of a small table.
+FILE_ROWS = 50_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint: a lost executor costs no recomputation, and two uses read the same
+    rows. rows: about how many there are, where that is known and what they are made from is no more; a small table then
+    goes to a few files instead of one for each shuffle partition."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    files = None if rows is None else max(1, -(-rows // FILE_ROWS))
+    few = df if files is None or files >= shuffle_partitions(spark) else df.coalesce(files)
+    return few.checkpoint(eager=True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: a lineage cut for rows with large values."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +56,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What this worker process keeps between tasks, by the operator that it is for.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Called as a task begins: what other operators have kept in this process goes, so that workers which serve one
+    operator after the other hold the caches of one at a time."""
+    for other in [x for x in _KEPT if x != owner]:
+        _KEPT.pop(other)()
+    _KEPT[owner] = clear
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(column).to_pylist()
 

@@ -26,14 +26,13 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of whole numbers, in any order, repeated or not; (node, component) of every node on an edge that is not
     its component's smallest. Nothing but a sum and a count of each round reaches the driver."""
-    now = common.cut(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    was = None
+    now, was, rows = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None, None
     for _ in range(MOST_ROUNDS):
-        now = common.cut(star(star(now, large=True), large=False))
+        now = common.cut(star(star(now, large=True), large=False), rows)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == was or not mark[0]:
             break
-        was = mark
+        was, rows = mark, mark[0]
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

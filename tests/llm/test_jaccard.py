@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from arborq.llm import jaccard
@@ -124,3 +125,71 @@ def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
     monkeypatch.setattr("arborq.llm.components.MOST_ROUNDS", 1)
     with pytest.raises(RuntimeError):
         components(path)
+
+
+def test_copies_without_their_original(spark, monkeypatch):
+    """Most of these pairs share prefix shingles and few link: rows of pairs stay near the number of documents."""
+    r = random.Random(5)
+    words = [f"v{k}" for k in range(200)]
+    rows = []
+    for d in range(500):
+        own = list(words)
+        for k in r.sample(range(200), 3):
+            own[k] = f"x{r.randrange(10**6)}"
+        rows.append((d, " ".join(own)))
+    made = []
+    monkeypatch.setattr(jaccard, "likeliest", lambda *a, f=jaccard.likeliest: made.append(f(*a)) or made[-1])
+    got = sorted(map(tuple, jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute(rows)
+    pairs = [(r.a, r.b) for df in made for r in df.where("a IS NOT NULL").select("a", "b").distinct().collect()]
+    assert made and len(pairs) < 20 * len(rows)
+
+
+def test_blocks_and_rounds_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
+    monkeypatch.setattr(jaccard, "LIKELIEST", 1)
+    monkeypatch.setattr(jaccard, "GROWTH", 2)
+    rows = corpus(3, 160)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect())) == brute(rows)
+
+
+def test_sketches_bound_the_difference():
+    r = random.Random(3)
+    for _ in range(300):
+        pool = np.array([r.getrandbits(64) for _ in range(r.choice([5, 100, 1500]))], np.uint64)
+        x, y = (np.unique(pool[np.array([r.random() < 0.8 for _ in pool])]) for _ in range(2))
+        if len(x) and len(y):
+            a, b = (np.frombuffer(jaccard.sketch(z), "<u8") for z in (x, y))
+            assert jaccard.differing(a, b) <= len(np.setxor1d(x, y)) and jaccard.differing(a, a) == 0
+
+
+def test_repeated_rows_and_two_texts_of_one_doc_id(spark):
+    words = [f"v{k}" for k in range(60)]
+    near = " ".join([*words[:-1], "z"])
+    rows = [(5, " ".join(words))] * 40 + [(9, near)] * 40 + [(5, "another text of the same number here"), (11, "another text of the same number here")]
+    got = {tuple(x) for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == {(5, 56, 5), (9, 56, 5), (5, 3, 5), (11, 3, 5)}
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, len(r.text.split())) for r in kept) == [(5, 7), (5, 60)]
+
+
+def test_hashes_of_words_do_not_depend_on_how_texts_are_cut(monkeypatch):
+    r = random.Random(9)
+    texts = [None, "", " ", "A", "a  B\tc\x0bd\x0ce\rf\ng", "é" * 40, "x" * 70 + " y", "ab", " lead and trail ", "\x00 \x85 \xa0", "w " * 30]
+    texts += ["".join(r.choice("ab cdé\n\t0") for _ in range(r.randrange(80))) for _ in range(200)] + ["y" * 500 + " z z z z z"]
+    import pyarrow as pa
+
+    want = list(jaccard.hashed_texts(pa.array(texts)))
+    for text, (sig, s) in zip(texts, want, strict=True):
+        words = jaccard.words_of(text)
+        n = min(5, len(words))
+        assert len(s) == (len({tuple(words[k : k + n]) for k in range(len(words) - n + 1)}) if words else 0) and (sig is None) == (not words)
+    by_words = {}
+    for text, (sig, _) in zip(texts, want, strict=True):
+        assert by_words.setdefault(tuple(jaccard.words_of(text)), sig) == sig
+    assert len(set(by_words.values())) == len(by_words)
+    for size in (3, 20, 100):
+        monkeypatch.setattr(jaccard, "AT_ONCE", size)
+        got = list(jaccard.hashed_texts(pa.array(["skipped", *texts])[1:]))
+        assert all(a[0] == b[0] and (a[1] == b[1]).all() for a, b in zip(got, want, strict=True))
