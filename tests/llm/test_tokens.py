@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from arborq.llm import bestfit, bitpack, common, tokencount
+from arborq.llm import bestfit, bitpack, common, tokencount, tokenizing
 from arborq.llm.tokenizing import Encoder, encoder, le_bytes, tokenizer_path
 
 STRANGE = "ab cdé'sÉ\n\t  .,!<|endoftext|>09İKſ\x1c\x85\xa0ﬁΣς漢字é’“”–…'ll ▁ <s> </s>"
@@ -191,3 +191,14 @@ def test_packed_arrays_and_words():
     assert all((x == y).all() for x, y in zip(tokencount.unpacked(tokencount.packed(a, b, a[:0])), (a, b, a[:0]), strict=True))
     words = ["", "é\x00", " a", "\n"]
     assert tokencount.unpack_words(tokencount.pack_words(words)) == words
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_plain_character_is_encoded_as_by_the_library(name):
+    e = tokenizing.Encoder(tokenizer_path(name))
+    r = random.Random(1)
+    texts = [a + c + b for c in tokenizing.PLAIN for a, b in (("", ""), ("a", "b"), (" ", " "), ("1", "'s"))]
+    texts += ["".join(r.choice(tokenizing.PLAIN) if r.random() < 0.5 else r.choice("abc  '\n\tLDs1²ª") for _ in range(r.randrange(40))) for _ in range(4000)]
+    assert type(e.find.__self__).__module__ == "re"
+    for text in texts:
+        assert e.encode(text) == tokenizing.le_bytes(e.tokenizer.encode(text, add_special_tokens=False).ids), text
