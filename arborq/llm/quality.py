@@ -30,7 +30,7 @@ COMMON = {
 }
 #: The language name of the shared reference, and characters that touch a word without being part of it.
 OTHER, EDGES = "*", b".,;:!?\"'()"
-SYMBOLS = b"[#*$%&|<>]"
+SYMBOLS = b"#*$%&|<>"
 #: Character classes of bytes; a code point counts by its first byte, bytes from 0x80 to 0xBF by none.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "ascii", "latin", "wide", "control")
 NO_CLASS = len(CLASSES)
@@ -42,7 +42,7 @@ def class_of(b: int) -> int:
         return NO_CLASS
     if b >= 0xC0:
         return CLASSES.index("latin" if b < 0xCA else "wide")
-    for name, test in (("lower", c.islower()), ("upper", c.isupper()), ("digit", c.isdigit()), ("space", c in b" \t\n\v\f\r"), ("stop", c in EDGES), ("symbol", c in b"#*$%&|<>"), ("control", b < 32 or b == 127)):
+    for name, test in (("lower", c.islower()), ("upper", c.isupper()), ("digit", c.isdigit()), ("space", c in b" \t\n\v\f\r"), ("stop", c in EDGES), ("symbol", c in SYMBOLS), ("control", b < 32 or b == 127)):
         if test:
             return CLASSES.index(name)
     return CLASSES.index("ascii")
@@ -181,6 +181,8 @@ def score(docs: DataFrame, refs: dict | None = None, **limits) -> DataFrame:
     refs = refs or references(docs, **limits)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keeps("quality", dict)
+
         def rows():
             for batch in batches:
                 for d, text, lang in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -193,12 +195,14 @@ def score(docs: DataFrame, refs: dict | None = None, **limits) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs, all columns as they were, that score() keeps."""
+    """The rows of docs, all columns as they were, that score() keeps: none with a null or an empty text, repeated rows
+    and null doc_ids like any others, of an empty table none."""
     limits = LIMITS | limits
     refs, names = references(docs, **limits), docs.columns
     text_at, lang_at = names.index("text"), names.index("lang")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keeps("quality", dict)
         for batch in batches:
             good = [judged(t, x, refs, limits)[6] for t, x in zip(batch.column(text_at).to_pylist(), batch.column(lang_at).to_pylist(), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))

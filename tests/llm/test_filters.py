@@ -29,21 +29,20 @@ def brute_base(text):
             dup += line in seen
             seen.add(line)
     bad = len(words) < 50 or 100 * len(covered) > 50 * len(words)
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>[]" for c in text or ""), dup, len(covered), bad
-
-
-def brute_symbols(text):
-    return len(re.findall(r"[#*$%&|<>]", text or ""))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered), bad
 
 
 def test_quality_base_numbers(spark, sf, odd, none):
     for df in (documents(spark, sf), odd):
         rows = df.collect()
-        want = sorted((r.doc_id is None, r.doc_id or 0, *brute_base(r.text)[:2], brute_symbols(r.text), *brute_base(r.text)[3:]) for r in rows)
+        want = sorted((r.doc_id is None, r.doc_id or 0, *brute_base(r.text)) for r in rows)
         got = quality.score(df).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, *r[1:7]) for r in got) == want
         assert all(not r.kept for r in got if r.base_failed)
     assert quality.score(none).count() == 0
+    assert [r.n_symbols for r in quality.score(spark.createDataFrame([(1, "[a] [b] # x", "en")], "doc_id long, text string, lang string")).collect()] == [1]
+    kept = quality.keep_good(odd)
+    assert kept.columns == odd.columns and kept.count() == quality.score(odd).where("kept").count() and quality.keep_good(none).count() == 0
 
 
 def test_quality_keeps_prose_and_drops_junk(spark):
@@ -138,6 +137,27 @@ def test_the_automaton_finds_what_regexes_find():
         assert s.scan(text) == brute_spans(text), text
 
 
+def test_a_scan_takes_time_in_proportion_to_its_text():
+    import time
+    import tracemalloc
+
+    s = secretscan.scanner(secretscan.RULES)
+    for text in ("eyJa.eyJb.eyJc.eyJ" + "n" * 1_000_000, "token=" + "a" * 1_000_000, "0f" * 500_000, "-----BEGIN PRIVATE KEY-----\n" * 30_000, "eyJa.eyJb.c." * 80_000, "-" * 1_000_000, "AKIA" * 250_000, "password:" * 110_000, "xoxb-gh" * 140_000):
+        began = time.process_time()
+        found = s.scan(text)
+        assert time.process_time() - began < 4, text[:30]
+        assert found == brute_spans(text)
+    tracemalloc.start()
+    s.spans(b"0f" * 500_000)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+    r = random.Random(4)
+    bits = ["eyJ", "a", "b.", ".", "eyJx.", "eyJabcdefgh.", "secret=", "token:", "AKIA", "Z9", "abcdef0123456789", " "]
+    for _ in range(6000):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(1, 30)))
+        assert s.scan(text) == brute_spans(text), text
+
+
 def test_any_regex_of_the_subset_matches_as_re_does():
     r = random.Random(3)
     for p in ["a|bc*", "(ab|a)(c|bcd)?", "[^a]b{2,3}", "(?i:aB)+c?", r"x\x61\d{2}", "(a?b){0,2}c"]:
@@ -164,6 +184,7 @@ def test_secret_scan(spark, sf, odd, none):
     clean = secretscan.redact(odd)
     assert clean.columns == odd.columns and clean.count() == odd.count()
     assert not any("abcdef123" in (r.text or "") for r in clean.collect())
+    assert secretscan.redact(none).count() == 0
     assert secretscan.hide("xxabcyy", [(2, "k", 4), (3, "k", 5)], "*") == "xx*yy"
 
 
