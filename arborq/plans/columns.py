@@ -488,6 +488,13 @@ class Compiler:
             kind = common(kind, p.kind)
         return Typed(F.array(*[to(p, kind) for p in parts]), kind, True)
 
+    def optional(self, e, t):
+        """Columns have one type: a field or element that the type has none of gives no results."""
+        try:
+            return self.run(e.args[0], t)
+        except Unsupported:
+            return Typed(F.array().cast("array<string>"), TEXT, True)
+
     def splat(self, e, t):
         def out(x: Typed) -> Typed:
             if isinstance(x.kind, T.ArrayType):
@@ -777,7 +784,10 @@ class Compiler:
 
     # folds and order
     def extreme(self, e, t):
-        return Typed((F.array_min if e.op == "min" else F.array_max)(t.value), t.kind.elementType)
+        """Null comes before all else, as in sorts."""
+        if e.op == "max":
+            return Typed(F.array_max(t.value), t.kind.elementType)
+        return Typed(F.when(~F.exists(t.value, lambda x: x.isNull()), F.array_min(t.value)), t.kind.elementType)
 
     def reduce(self, e, t):
         s = self.stream(self.run(e.args[0], t))
@@ -827,7 +837,9 @@ class Compiler:
             return t
         if isinstance(t.kind, T.VariantType):
             return as_kind(t, DOUBLE)
-        return Typed(t.value.try_cast("double"), DOUBLE)
+        text_ = F.btrim(t.value, F.lit(" \t\r\n"))
+        wrong = F.raise_error(F.concat(F.lit("not a number: "), t.value)).cast("double")
+        return Typed(F.when(t.value.isNull(), None).otherwise(F.coalesce(text_.try_cast("double"), wrong)), DOUBLE)
 
     def test(self, e, t):
         return Typed(F.coalesce(t.value.rlike(java_regex(e.args[0].value)), F.lit(False)), BOOL)
@@ -837,22 +849,64 @@ class Compiler:
         repl = re.sub(r"\$(.?)", lambda m: "$0" if m[1] == "0" else "\\$" if m[1] == "$" else "\\$" + m[1], repl)
         return Typed(F.regexp_replace(t.value, java_regex(e.args[0].value), repl), TEXT)
 
+    def flags(self, e) -> bool:
+        """Whether a match is global; the only flag is g, as in documents."""
+        if len(e.args) < 2:
+            return False
+        flags = e.args[1].value if e.args[1].op == "lit" else "?"
+        if flags not in (None, "", "g"):
+            raise Unsupported(f"unknown flags {flags!r}; write (?i) in the pattern")
+        return flags == "g"
+
+    def groups(self, e, t: Typed, names: Callable) -> Typed:
+        """A value by `names(groups, offsets)` for each match. The k-th match's groups are the k-th of regexp_extract_all()
+        by group; its place is the length of what regexp_replace() with a mark leaves before it."""
+        if not is_text(t.kind) or e.args[0].op != "lit":
+            raise Unsupported(f"{e.op} needs a text and a literal pattern")
+        pattern, p = re.compile(e.args[0].value), java_regex(e.args[0].value)
+        whole = F.coalesce(F.regexp_extract_all(t.value, F.lit(f"({p})"), F.lit(1)), F.array().cast("array<string>"))
+        whole = whole if self.flags(e) else F.slice(whole, 1, 1)
+        text_ = F.coalesce(t.value, F.lit(""))
+        parts = [whole, *[F.regexp_extract_all(t.value, F.lit(f"({p})"), F.lit(k + 1)) for k in range(1, pattern.groups + 1)]]
+        mark = "\ue000"  # of as many bytes as what stands for it in a text that has it
+        pieces = F.split(F.regexp_replace(F.replace(text_, F.lit(mark), F.lit("\ue001")), p, f"{mark}$0{mark}"), mark, -1)
+        starts = F.transform(whole, lambda _, k: F.aggregate(F.slice(pieces, 1, k * 2 + 1), F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))
+        rows = F.transform(whole, lambda x, k: F.struct(x.alias("w"), F.get(starts, k).alias("at"), k.alias("k")))
+        out = names(parts)
+        sample = out(F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("k")))
+        return Typed(F.transform(rows, lambda r: out(r).value), sample.kind, True)
+
     def capture(self, e, t):
-        p = java_regex(e.args[0].value)
-        groups = re.compile(e.args[0].value)
-        names = [(str(k), k) for k in range(groups.groups + 1)] + [(n, k) for n, k in groups.groupindex.items()]
-        pairs = [x for n, k in names for x in (F.lit(n), F.regexp_extract(t.value, p, k))]
-        return Typed(F.when(t.value.rlike(p), F.create_map(*pairs)), T.MapType(TEXT, TEXT))
+        pattern = re.compile(e.args[0].value)
+        names = [(str(k), k) for k in range(pattern.groups + 1)] + list(pattern.groupindex.items())
+
+        def made(parts: list[Column]):
+            return lambda r: Typed(F.create_map(*[x for n, k in names for x in (F.lit(n), F.get(parts[k], r.getField("k")))]), T.MapType(TEXT, TEXT))
+
+        return self.groups(e, t, made)
 
     def match(self, e, t):
-        """The matched text with its place in bytes, and the groups' texts; offsets of groups are left to documents."""
-        p, groups = java_regex(e.args[0].value), re.compile(e.args[0].value).groups
-        whole = F.regexp_extract(t.value, p, 0)
-        before = F.regexp_extract(t.value, f"(?s)^(.*?)(?:{p})", 1)
-        fields = [("string", Typed(whole, TEXT)), ("offset", Typed(F.octet_length(before).cast("long"), LONG)), ("length", Typed(F.octet_length(whole).cast("long"), LONG))]
-        captures = F.array(*[F.struct(F.regexp_extract(t.value, p, k).alias("string")) for k in range(1, groups + 1)]) if groups else F.array().cast("array<struct<string:string>>")
-        out = struct([*fields, ("captures", Typed(captures, array(T.StructType([T.StructField("string", TEXT)]))))])
-        return Typed(F.when(t.value.rlike(p), out.value), out.kind)
+        """The matched text with its place in bytes, and the groups with their names. A group's text alone does not tell
+        where it lies, so its offset is that of its first place within the match, and -1 for one that is empty (documents
+        tell such cases apart)."""
+        pattern = re.compile(e.args[0].value)
+        labels = {k: n for n, k in pattern.groupindex.items()}
+        group = T.StructType([T.StructField("string", TEXT), T.StructField("offset", LONG), T.StructField("length", LONG), T.StructField("name", TEXT)])
+
+        def made(parts: list[Column]):
+            def one(r: Column) -> Typed:
+                def place(k: int) -> Column:
+                    g = F.get(parts[k], r.getField("k"))
+                    near = F.octet_length(F.call_function("substring_index", r.getField("w"), g, F.lit(1))).cast("long")
+                    at = F.when(F.coalesce(g, F.lit("")) == "", F.lit(-1).cast("long")).otherwise(r.getField("at") + near)
+                    return F.struct(F.when(F.coalesce(g, F.lit("")) != "", g).alias("string"), at.alias("offset"), F.octet_length(F.coalesce(g, F.lit(""))).cast("long").alias("length"), F.lit(labels.get(k)).cast("string").alias("name"))
+
+                captures = F.array(*[place(k) for k in range(1, pattern.groups + 1)]) if pattern.groups else F.array().cast(T.ArrayType(group))
+                return struct([("string", Typed(r.getField("w"), TEXT)), ("offset", Typed(r.getField("at"), LONG)), ("length", Typed(F.octet_length(r.getField("w")).cast("long"), LONG)), ("captures", Typed(captures, array(group)))])
+
+            return one
+
+        return self.groups(e, t, made)
 
     def concat(self, e, t):
         parts = [Typed(F.lit(a.value), TEXT) if a.op == "lit" else self.single(a, t) for a in e.args]
@@ -908,7 +962,7 @@ def static_list(e: Expr) -> list:
 
 ARITHMETIC = {"+": add, "-": subtract, "*": multiply, "/": divide, "%": modulo}
 METHODS = {
-    **{x: x for x in "lit empty block var field splat index slice keys select filter has contains collect object map map_values pick omit compact flatten reverse unique unique_by group_by to_entries from_entries with_entries array_to_map first length reduce sort sort_by sort_keys shuffle join split trim to_string to_number test sub capture match concat tag to_json to_csv from_json setpath delpaths".split()},
+    **{x: x for x in "lit empty block var field optional splat index slice keys select filter has contains collect object map map_values pick omit compact flatten reverse unique unique_by group_by to_entries from_entries with_entries array_to_map first length reduce sort sort_by sort_keys shuffle join split trim to_string to_number test sub capture match concat tag to_json to_csv from_json setpath delpaths".split()},
     **dict.fromkeys(["+", "-", "*", "/", "%", "==", "!=", "<", "<=", ">", ">="], "binary"),
     **dict.fromkeys(["and", "or"], "logic"),
     **dict.fromkeys(["any", "all"], "quantifier"),

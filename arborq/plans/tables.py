@@ -74,13 +74,6 @@ def put(f: Frame, t: Typed) -> Frame:
     return replace(f, df=f.df.select(*hidden(f), t.value.alias(VALUE)), bare=True)
 
 
-def matches(e: Expr, t: Typed) -> Typed:
-    """match() and capture() give no result where nothing fits, not a null."""
-    if e.op not in ("match", "capture") or t.many:
-        return t
-    return Typed(F.when(t.value.isNotNull(), F.array(t.value)).otherwise(F.array().cast(T.ArrayType(t.kind))), t.kind, True)
-
-
 def struct_fields(t: Typed) -> list[Column]:
     return [t.value.getField(n).alias(n) for n in t.kind.names]
 
@@ -90,11 +83,11 @@ def unwrapped(f: Frame) -> Frame:
     return replace(f, df=f.df.select(*hidden(f), *[F.col(VALUE).getField(n).alias(n) for n in names]), bare=False)
 
 
-def built(e: Expr, t: Typed) -> list[tuple[str, Typed]] | None:
+def built(e: Expr, t: Typed, compiler: Compiler) -> list[tuple[str, Typed]] | None:
     """The fields of an object expression, one by one, so that Spark sees plain columns instead of a struct."""
     if e.op != "object" or not all(k.op == "lit" for k in e.args[::2]):
         return None
-    fields = [(str(k.value), Compiler().run(v, t)) for k, v in zip(e.args[::2], e.args[1::2], strict=True)]
+    fields = [(str(k.value), compiler.run(v, t)) for k, v in zip(e.args[::2], e.args[1::2], strict=True)]
     return None if any(x.many for _, x in fields) else fields
 
 
@@ -138,9 +131,9 @@ class Tables:
             gone = [p.value for p in spread(e.args[0]) if p.op == "field" and p.args[0].op == "self"]
             if len(gone) == len(spread(e.args[0])):
                 return replace(f, df=f.df.drop(*gone))
-        if (fields := built(e, f.typed)) is not None:
+        if (fields := built(e, f.typed, self.compiler)) is not None:
             return replace(f, df=f.df.select(*hidden(f), *[to(x, T.StringType() if isinstance(x.kind, T.NullType) else x.kind).alias(n) for n, x in fields]), bare=False)
-        return put(f, matches(e, self.compiler.run(e, f.typed)))
+        return put(f, self.compiler.run(e, f.typed))
 
     def plain_path(self, e: Expr) -> str | None:
         return e.value if e.op == "field" and e.args[0].op == "self" and "*" not in e.value else None
@@ -178,6 +171,9 @@ class Tables:
     def self_(self, e, f):
         return f
 
+    def optional(self, e, f):
+        return self.run(e.args[0], f)
+
     def splat(self, e, f):
         return replace(self.run(e.args[0], f), rows=True)
 
@@ -229,12 +225,20 @@ class Tables:
         return replace(f, order=tuple((n, not down) for n, down in f.order))
 
     def slice(self, e, f):
-        low, high = (a.value if a.op == "lit" else None for a in (e.args[1:] + [Expr("lit", value=-1 << 62)])[:2])
-        if low is None or high is None or low < 0 or (high < 0 and high != -1 << 62):
-            raise Unsupported("a slice of a table counts from the front")
+        """Ends that count from the back are places from the front once the rows are counted, or limits of the reversed order."""
+        ends = [a.value if a.op == "lit" else None for a in e.args[1:]]
+        if not all(isinstance(x, int) for x in ends):
+            raise Unsupported("the ends of a table's slice are whole numbers")
+        low, high = ends[0], ends[1] if len(ends) > 1 else None
+        if low < 0 and high is None:  # the last ones
+            out = self.reverse(e, f)
+            return self.reverse(e, replace(out, df=out.df.orderBy(*out.keys).limit(-low)))
+        if low < 0 or high is not None and high < 0:
+            n = f.df.count()
+            low, high = (max(0, x + n) if x is not None and x < 0 else x for x in (low, high))
         out = f.df.orderBy(*f.keys)
         out = out.offset(low) if low else out
-        return replace(f, df=out.limit(max(0, high - low)) if high >= 0 else out)
+        return replace(f, df=out if high is None else out.limit(max(0, high - low)))
 
     def index(self, e, f):
         k = e.args[1].value if e.args[1].op == "lit" else None
@@ -249,10 +253,17 @@ class Tables:
         return replace(kept, df=kept.df.orderBy(*kept.keys).limit(1), one=True)
 
     def unique_by(self, e, f):
-        """The first of each key, by a window over the key; nulls are one key."""
-        key = [self.compiler.single(k, f.typed).value for k in spread(e.args[0])] if e.args else self.whole_key(f)
-        place = F.row_number().over(Window.partitionBy(*key).orderBy(*f.keys))
-        return replace(f, df=f.df.withColumn("__n", place).where("__n = 1").drop("__n"))
+        """The first row of each key, by a partial aggregate; nulls are one key."""
+        if not e.args:
+            return self.unique(e, f)
+        keys = [self.compiler.single(k, f.typed).value.alias(f"__u{n}") for n, k in enumerate(spread(e.args[0]))]
+        names = [*[n for n, _ in f.order], *f.names]
+        order = F.struct(*[F.col(n) for n, _ in f.order]) if not any(down for _, down in f.order) else None
+        if order is None:
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy(*f.keys))
+            return replace(f, df=f.df.withColumn("__n", place).where("__n = 1").drop("__n"))
+        row = F.min_by(F.struct(*[F.col(quoted(n)) for n in names]), order).alias("__row")
+        return replace(f, df=f.df.groupBy(*keys).agg(row).select(*[F.col("__row").getField(n).alias(n) for n in names]))
 
     def unique(self, e, f):
         """Distinct rows in first-seen order: a partial aggregate, not a window over whole rows."""
@@ -276,7 +287,7 @@ class Tables:
     def extreme(self, e, f):
         if not f.bare:
             raise Unsupported("min and max need single values")
-        return self.single_row(f, {VALUE: (F.min if e.op == "min" else F.max)(VALUE)})
+        return self.single_row(f, {VALUE: least(VALUE) if e.op == "min" else F.max(VALUE)})
 
     def quantifier(self, e, f):
         test = self.compiler.any_true(self.compiler.run(e.args[0], f.typed)) if e.args else truthy(f.typed)
@@ -322,14 +333,25 @@ class Tables:
 
     def with_variable(self, e, f):
         """`e as $x | body` over a table: the left side's matches times the body's, as a join."""
-        left = self.run(e.args[0], f)
+        left = self.run(pipeline(flat(e.args[0])), f)
         if left.bare and left.one:
             held = left.df.select(F.col(VALUE).alias(f"__{e.value}"))
             joined = f.df.crossJoin(F.broadcast(held))  # an aggregate's single row
             env = {**self.env, e.value: Typed(F.col(f"__{e.value}"), left.typed.kind)}
             out = Tables(env).run(e.args[1], replace(f, df=joined))
             return replace(out, df=out.df.drop(f"__{e.value}"))
-        raise Unsupported("a variable over a table holds one value")
+        if left.rows and left.bare:  # each value in turn: rows of all values, the values' order first
+            held = left.df.select(*[F.col(n).alias(f"__v{k}") for k, (n, _) in enumerate(left.order)], F.col(VALUE).alias(f"__{e.value}"))
+            joined = f.df.crossJoin(held)
+            env = {**self.env, e.value: Typed(F.col(f"__{e.value}"), left.typed.kind)}
+            order = (*[(f"__v{k}", down) for k, (_, down) in enumerate(left.order)], *f.order)
+            body = e.args[1]
+            steps = flat(body)
+            if not steps or steps[0].op != "splat":
+                raise Unsupported("the body for several values of a variable goes over rows")
+            out = Tables(env).run(body, Frame(joined, (*order, (f"__{e.value}", False)), rows=False))
+            return out
+        raise Unsupported("a variable over a table holds single values")
 
     # groups
     def on_groups(self, e: Expr, f: Frame) -> Frame:
@@ -402,7 +424,7 @@ class Tables:
         if x.many:
             return None
         if names in (["min"], ["max"]):
-            return Typed((F.min if names == ["min"] else F.max)(x.value), x.kind)
+            return Typed(least(x.value) if names == ["min"] else F.max(x.value), x.kind)
         if names == ["unique", "length"]:
             return Typed((F.count_distinct(x.value) + F.max(x.value.isNull().cast("int"))).cast("long"), LONG)
         if not names:
@@ -411,6 +433,12 @@ class Tables:
         return None
 
 
+def least(c: Column | str) -> Column:
+    """min() in which null comes before all else, as in sorts."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.count(F.lit(1)) == F.count(c), F.min(c))
+
+
 def is_member(e: Expr) -> bool:
     """`.[0]`, or a field of it."""
     while e.op == "field":
@@ -458,7 +486,7 @@ def pipeline(steps: Sequence[Expr]) -> Expr:
 
 
 SEQUENCE = {
-    **{x: x for x in "splat map filter sort_by reverse slice index first unique_by unique group_by length reduce collect to_entries shuffle flatten join".split()},
+    **{x: x for x in "splat optional map filter sort_by reverse slice index first unique_by unique group_by length reduce collect to_entries shuffle flatten join".split()},
     **dict.fromkeys(["min", "max"], "extreme"),
     **dict.fromkeys(["any", "all"], "quantifier"),
     **dict.fromkeys(["|=", "+=", "-=", "*=", "="], "selective"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,11 @@ class Query:
     expression: str
     sql: str | None
     digits: dict[str, int] = field(default_factory=dict)
+    ordered: bool = False
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         name, order = self.table
-        out = query(spark.read.parquet(f"{sf_dir}/{name}.parquet"), self.expression, order)
+        out = query(spark.read.parquet(f"{sf_dir}/{name}.parquet"), self.expression, order, self.ordered)
         return out.withColumns({c: F.round(c, n) for c, n in self.digits.items()}) if self.digits else out
 
 
@@ -44,6 +46,7 @@ EXPRESSIONS: dict[str, Query] = {
     "union_matches": Query(ORDERS, ".[] | (.o_orderkey, .o_custkey)", "SELECT o_orderkey AS value FROM orders UNION ALL SELECT o_custkey FROM orders"),
     "block": Query(ORDERS, ".[] | {k: .o_orderkey, v: (.o_custkey; .o_totalprice)}", "SELECT o_orderkey AS k, o_totalprice AS v FROM orders"),
     "empty": Query(ORDERS, ".[] | {k: .o_orderkey, e: ([] | length)}", "SELECT o_orderkey AS k, 0::BIGINT AS e FROM orders"),
+    "empty_rows": Query(REGIONS, ".[] | select(.r_regionkey > 1) | empty | .r_name", "SELECT r_name AS value FROM region WHERE false"),
     "comments_and_groups": Query(ORDERS, ".[] # rows\n | {v: (.o_orderkey + 1) * 2}", "SELECT (o_orderkey + 1) * 2 AS v FROM orders"),
     # traversal
     "traverse_path": Query(LINES, ".[] | .l_orderkey", "SELECT l_orderkey AS value FROM lineitem"),
@@ -56,6 +59,8 @@ EXPRESSIONS: dict[str, Query] = {
     "index_in_array": Query(PARTS, '.[] | {k: .p_partkey, a: (.p_name / " ")[0], z: (.p_name / " ")[-1], o: ((.p_name / " ")[9] // "out")}', "SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS z, coalesce(string_split(p_name, ' ')[10], 'out') AS o FROM part"),
     "computed_key": Query(NATIONS, '.[] | .["n_name"]', "SELECT n_name AS value FROM nation"),
     "slice": Query(ORDERS, "sort_by(.o_totalprice) | .[10:20] | map({k: .o_orderkey})", "SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 10"),
+    "slice_negative": Query(ORDERS, "sort_by(.o_totalprice) | .[-10:-5] | map({k: .o_orderkey})", "SELECT o_orderkey AS k FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS n FROM orders) WHERE n BETWEEN 6 AND 10"),
+    "slice_last": Query(ORDERS, "sort_by(.o_totalprice) | .[-3:] | map({k: .o_orderkey})", "SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 3"),
     "slice_in_array": Query(PARTS, '.[] | {k: .p_partkey, s: (.p_name / " " | .[0:1] | join("-"))}', "SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS s FROM part"),
     "keys": Query(REGIONS, '.[] | {k: .r_regionkey, names: (keys | join(","))}', "SELECT r_regionkey AS k, 'r_regionkey,r_name' AS names FROM region"),
     "delete": Query(ORDERS, ".[] | del(.o_orderdate, .o_totalprice)", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders"),
@@ -132,20 +137,22 @@ EXPRESSIONS: dict[str, Query] = {
     "length": Query(ORDERS, "length", "SELECT count(*) AS value FROM orders"),
     "length_fused": Query(LINES, "[.[] | select(.l_discount > 0.05)] | length", "SELECT count(*) AS value FROM lineitem WHERE l_discount > 0.05"),
     "length_text": Query(PARTS, ".[] | {k: .p_partkey, n: (.p_name | length), m: (.absent | length)}", "SELECT p_partkey AS k, length(p_name) AS n, 0::BIGINT AS m FROM part"),
-    "reverse": Query(ORDERS, "reverse | .[0:5] | map(.o_orderkey)", "SELECT o_orderkey AS value FROM orders ORDER BY o_orderkey DESC LIMIT 5"),
+    "reverse": Query(ORDERS, "reverse | map(.o_orderkey)", "SELECT o_orderkey AS value FROM orders ORDER BY o_orderkey DESC", ordered=True),
     "reverse_array": Query(PARTS, '.[] | {k: .p_partkey, v: (.p_name / " " | reverse | join(" "))}', "SELECT p_partkey AS k, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS v FROM part"),
     # folds
     "min": Query(ORDERS, "map(.o_totalprice) | min", "SELECT min(o_totalprice) AS value FROM orders"),
     "max": Query(ORDERS, "map(.o_orderpriority) | max", "SELECT max(o_orderpriority) AS value FROM orders"),
     "min_max_array": Query(PARTS, ".[] | {k: .p_partkey, a: ([.p_size, 20] | min), b: ([.p_size, 20] | max)}", "SELECT p_partkey AS k, least(p_size, 20)::BIGINT AS a, greatest(p_size, 20)::BIGINT AS b FROM part"),
+    "min_with_nulls": Query(PARTS, ".[] | {k: .p_partkey, a: ([.p_size, 20, null] | min), b: ([.p_size, 20, null] | max)}", "SELECT p_partkey AS k, NULL::BIGINT AS a, greatest(p_size, 20)::BIGINT AS b FROM part"),
     "reduce_sum": Query(EVENTS, ".[] as $x reduce (0; . + $x.value)", "SELECT round(sum(value), 4) AS value FROM events", {"value": 4}),
     "reduce_fold": Query(PARTS, '.[] | {k: .p_partkey, v: ((.p_name / " ") | .[] as $w reduce (""; . + ($w | length) + ","))}', "SELECT p_partkey AS k, array_to_string([length(x)::VARCHAR || ',' FOR x IN string_split(p_name, ' ')], '') AS v FROM part"),
-    "reduce_ordered": Query(EVENTS, ".[0:10] | .[] as $x reduce (1; . * 3 % 1000003 + $x.event_id)", "WITH RECURSIVE e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 10)), f(n, v) AS (SELECT 0::BIGINT, 1::BIGINT UNION ALL SELECT e.n, f.v * 3 % 1000003 + e.event_id FROM f JOIN e ON e.n = f.n + 1) SELECT v AS value FROM f ORDER BY n DESC LIMIT 1"),
+    "reduce_ordered": Query(EVENTS, ".[] as $x reduce (1; . * 3 % 1000003 + $x.event_id)", "SELECT list_reduce(list_prepend(1::BIGINT, list(event_id::BIGINT ORDER BY event_id)), lambda a, x: a * 3 % 1000003 + x) AS value FROM events"),
     # order
-    "sort": Query(ORDERS, "map(.o_totalprice) | sort | .[0:7]", "SELECT o_totalprice AS value FROM orders ORDER BY o_totalprice LIMIT 7"),
+    "sort": Query(ORDERS, "map(.o_totalprice) | sort", "SELECT o_totalprice AS value FROM orders ORDER BY o_totalprice", ordered=True),
     "sort_array": Query(PARTS, '.[] | {k: .p_partkey, v: (.p_name / " " | sort | join(" "))}', "SELECT p_partkey AS k, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS v FROM part"),
-    "sort_by": Query(ORDERS, "sort_by(.o_orderpriority) | .[0:9] | map(.o_orderkey)", "SELECT o_orderkey AS value FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 9"),
-    "sort_by_multi": Query(ORDERS, "sort_by(.o_orderstatus, .o_totalprice) | .[3:12] | map(.o_orderkey)", "SELECT o_orderkey AS value FROM orders ORDER BY o_orderstatus, o_totalprice, o_orderkey LIMIT 9 OFFSET 3"),
+    "sort_by": Query(ORDERS, "sort_by(.o_orderpriority) | map(.o_orderkey)", "SELECT o_orderkey AS value FROM orders ORDER BY o_orderpriority, o_orderkey", ordered=True),
+    "sort_by_multi": Query(ORDERS, "sort_by(.o_orderstatus, .o_totalprice) | map(.o_orderkey)", "SELECT o_orderkey AS value FROM orders ORDER BY o_orderstatus, o_totalprice, o_orderkey", ordered=True),
+    "sort_by_places": Query(NATIONS, "sort_by(.n_name) | to_entries | map({i: .key, k: .value.n_nationkey})", "SELECT row_number() OVER (ORDER BY n_name, n_nationkey) - 1 AS i, n_nationkey AS k FROM nation"),
     "sort_by_array": Query(PARTS, '.[] | {k: .p_partkey, v: ([{a: 2, b: .p_name}, {a: 1, b: .p_brand}] | sort_by(.a) | map(.b) | join(","))}', "SELECT p_partkey AS k, p_brand || ',' || p_name AS v FROM part"),
     "topk": Query(LINES, "sort_by(.l_extendedprice) | reverse | .[0:10] | map(.l_extendedprice)", "SELECT l_extendedprice AS value FROM lineitem ORDER BY l_extendedprice DESC LIMIT 10"),
     "sort_keys": Query(NATIONS, '.[] | {b: .n_name, a: .n_nationkey} | sort_keys(.) | keys | join(",")', "SELECT 'a,b' AS value FROM nation"),
@@ -155,7 +162,9 @@ EXPRESSIONS: dict[str, Query] = {
     "split": Query(PARTS, '.[] | {k: .p_partkey, v: (.p_brand | split("#") | .[1])}', "SELECT p_partkey AS k, string_split(p_brand, '#')[2] AS v FROM part"),
     "sub": Query(PARTS, '.[] | {k: .p_partkey, v: (.p_name | sub("[aeiou]"; "<$0>"))}', "SELECT p_partkey AS k, regexp_replace(p_name, '([aeiou])', '<\\1>', 'g') AS v FROM part"),
     "match_string": Query(PARTS, '.[] | .p_name | match("[aeiou](.)") | {s: .string, o: .offset, n: .length, c: .captures[0].string}', "SELECT m AS s, (instr(p_name, m) - 1)::BIGINT AS o, 2::BIGINT AS n, m[2] AS c FROM (SELECT p_name, regexp_extract(p_name, '[aeiou].') AS m FROM part) WHERE m <> ''"),
+    "match_global": Query(PARTS, '.[] | .p_name | match("[aeiou](?P<next>.)"; "g") | {s: .string, o: .offset, n: .length, c: .captures[0].string, co: .captures[0].offset, cn: .captures[0].name}', "SELECT s, o, 2::BIGINT AS n, s[2] AS c, CASE WHEN s[1] = s[2] THEN o ELSE o + 1 END AS co, 'next' AS cn FROM (SELECT string_split(part, chr(2))[1] AS s, no, sum(length(replace(part, chr(2), ''))) OVER (PARTITION BY p_partkey ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS o FROM (SELECT p_partkey, unnest(parts) AS part, generate_subscripts(parts, 1) AS no FROM (SELECT p_partkey, string_split(regexp_replace(p_name, '([aeiou].)', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM part))) WHERE no > 1"),
     "capture": Query(PARTS, '.[] | .p_name | capture("(?P<first>[a-z]+) (?P<second>[a-z]+)") | {a: .first, b: .second, z: .["0"]}', "SELECT regexp_extract(p_name, '([a-z]+) ([a-z]+)', 1) AS a, regexp_extract(p_name, '([a-z]+) ([a-z]+)', 2) AS b, regexp_extract(p_name, '([a-z]+) ([a-z]+)') AS z FROM part WHERE regexp_matches(p_name, '([a-z]+) ([a-z]+)')"),
+    "capture_global": Query(PARTS, '.[] | .p_name | capture("(?P<a>[a-z])(?P<b>[a-z]+)"; "g") | {a: .a, b: .b}', "SELECT w[1] AS a, w[2:] AS b FROM (SELECT unnest(regexp_extract_all(p_name, '[a-z][a-z]+')) AS w FROM part)"),
     "test": Query(PARTS, '.[] | select(.p_name | test("^[a-l]+ ")) | .p_partkey', "SELECT p_partkey AS value FROM part WHERE regexp_matches(p_name, '^[a-l]+ ')"),
     "upcase": Query(PARTS, ".[] | .p_name | upcase", "SELECT upper(p_name) AS value FROM part"),
     "downcase": Query(PARTS, ".[] | .p_brand | downcase", "SELECT lower(p_brand) AS value FROM part"),
@@ -167,6 +176,7 @@ EXPRESSIONS: dict[str, Query] = {
     "tag": Query(ORDERS, ".[] | {k: .o_orderkey, a: (.o_orderkey | tag), b: (.o_totalprice | tag), c: (.o_orderstatus | type), d: (.absent | tag)}", "SELECT o_orderkey AS k, '!!int' AS a, '!!float' AS b, '!!str' AS c, '!!null' AS d FROM orders"),
     "kind": Query(ORDERS, ".[] | {k: .o_orderkey, a: kind, b: (.o_orderkey | kind), c: ([1] | kind)}", "SELECT o_orderkey AS k, 'map' AS a, 'scalar' AS b, 'seq' AS c FROM orders"),
     "variables_bind": Query(NATIONS, ".[] | .n_regionkey as $r | {k: .n_nationkey, v: ($r * 100 + .n_nationkey)}", "SELECT n_nationkey AS k, n_regionkey::BIGINT * 100 + n_nationkey AS v FROM nation"),
+    "variables_rows": Query(REGIONS, ".[].r_regionkey as $r | .[] | {name: .r_name, r: $r}", "SELECT b.r_name AS name, a.r_regionkey AS r FROM region a, region b"),
     "variables_loop": Query(PARTS, '.[] | (.p_name / " ") as $w | {k: .p_partkey, n: ($w | length)}', "SELECT p_partkey AS k, len(string_split(p_name, ' '))::BIGINT AS n FROM part"),
     "table_variable": Query(ORDERS, "(map(.o_totalprice) | max) as $m | map(select(.o_totalprice * 2 > $m * 1.99)) | map(.o_orderkey)", "SELECT o_orderkey AS value FROM orders WHERE o_totalprice * 2 > (SELECT max(o_totalprice) FROM orders) * 1.99"),
     "cross_product": Query(REGIONS, ".[] | (.r_regionkey, 10) + (1, 2)", "SELECT a + b AS value FROM (SELECT r_regionkey::BIGINT AS a FROM region UNION ALL SELECT 10 FROM region) , (VALUES (1::BIGINT), (2::BIGINT)) t(b)"),
@@ -195,8 +205,8 @@ NATION_SCALARS = "SELECT n_nationkey::BIGINT AS doc_id, 'n_nationkey' AS key, n_
 TREE = "SELECT event_id AS doc_id, event_type AS t, json_extract_string(props, '$.k') AS k FROM events"
 
 
-def node_query(f):
-    return lambda spark, sf_dir: f(nodes.node_table(prop_texts(spark, sf_dir)))
+def node_query(f, places: bool = False):
+    return lambda spark, sf_dir: f(nodes.node_table(prop_texts(spark, sf_dir), places=places))
 
 
 def evaluated(expression: str, *columns: str):
@@ -235,7 +245,7 @@ def diff_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     element = lambda x: F.concat(F.lit('{"k":'), F.col("k"), F.lit(f',"n":{x}}}'))
     old = F.concat(F.lit('{"a":['), *[p for x in range(4) for p in (element(x), F.lit(","))], F.lit('"end"],"b":[1,2]}'))
     new = F.concat(F.lit('{"b":[1,3],"a":["front",'), *[p for x in range(4) for p in (element(x), F.lit("," if x < 3 else "]}"))])
-    return nodes.diff(nodes.node_table(o.select("doc_id", old.alias("text"))), nodes.node_table(o.select("doc_id", new.alias("text"))))
+    return nodes.diff(nodes.node_table(o.select("doc_id", old.alias("text")), places=False), nodes.node_table(o.select("doc_id", new.alias("text")), places=False))
 
 
 def same_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,11 +256,42 @@ def delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.graph_delta(*orders_versions(spark, sf_dir)).select("doc_id", "op")
 
 
-def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.with_inline(nodes.diff(*orders_versions(spark, sf_dir)))
+
+
+def line_diff(spark: SparkSession, sf_dir: str, method: str = "myers") -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_brand")
     old = p.select("doc_id", F.concat_ws("\n", F.lit("a"), F.col("p_name"), F.lit("z")).alias("text"))
     new = p.select("doc_id", F.concat_ws("\n", F.lit("a"), F.col("p_brand"), F.lit("z"), F.lit("end")).alias("text"))
-    return nodes.diff_lines(old, new)
+    return nodes.diff_lines(old, new, method)
+
+
+def histogram_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_diff(spark, sf_dir, "histogram")
+
+
+def preview_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of every kind for each nation."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    name = F.lower(F.regexp_replace("n_name", "[^A-Za-z]", "-"))
+    texts = [F.concat(F.lit("https://a.b/"), name, F.lit(".png")), F.concat(F.lit("https://a.b/"), name, F.lit("?d=1")), F.lit("#ff00aa"), F.lit("eyJhbGciOiJub25lIn0.eyJhIjoxfQ."), F.concat(name, F.lit("%20b")), F.concat(name, F.lit("\\u0041")), F.lit("2024-01-02T03:04:05Z"), F.lit("two words")]
+    rows = n.select("n_nationkey", F.posexplode(F.array(*texts)).alias("no", "t"))
+    return rows.select("n_nationkey", "no", F.coalesce(previews.preview_kind(F.col("t")), F.lit("none")).alias("kind"))
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as documents, cut into chunks of 5 bytes, through the streaming operator: a file source, state by document,
+    a file sink, and the latest snapshots of what came out."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    text = F.concat(F.lit('{"id": '), F.col("n_nationkey").cast("string"), F.lit(', "tags": ["a", "'), F.col("n_name"), F.lit('"]}'))
+    rows = chunks.split_chunks(n, F.col("n_nationkey"), text, size=5)
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/in")
+    out = chunks.patches(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in"))
+    out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    snapshot = chunks.latest_snapshots(spark.read.parquet(f"{base}/out"))
+    return snapshot.where("kind = 'scalar'").select(F.col("document_key").cast("long").alias("doc_id"), "path_text", "value")
 
 
 def tables_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,11 +303,11 @@ def tables_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.header_tables(nodes.node_table(tables_text(spark, sf_dir))).select("doc_id", "path_text", "has_header")
+    return nodes.header_tables(nodes.node_table(tables_text(spark, sf_dir), places=False)).select("doc_id", "path_text", "has_header")
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = nodes.table_cells(nodes.node_table(tables_text(spark, sf_dir)))
+    cells = nodes.table_cells(nodes.node_table(tables_text(spark, sf_dir), places=False))
     return cells.groupBy("doc_id", "column").agg(F.count("*").alias("n"), F.sum(F.col("missing").cast("long")).alias("n_missing"))
 
 
@@ -301,6 +342,7 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.where("kind = 'scalar'").select(F.col("document_key").cast("long").alias("doc_id"), "path_text", "value")
 
 
+LINE_DIFF = "SELECT p_partkey AS doc_id, 'delete' AS op, 1::INT AS line, p_name AS text, true AS exact FROM part UNION ALL SELECT p_partkey, 'insert', 1, p_brand, true FROM part UNION ALL SELECT p_partkey, 'insert', 3, 'end', true FROM part"
 PATHS = f"SELECT doc_id, p.path AS path_text, p.value AS value FROM ({TREE}) d, LATERAL (VALUES ('$.id', d.doc_id::VARCHAR), ('$.tags[0]', 'a'), ('$.tags[1]', d.t), ('$.props.k', d.k)) p(path, value)"
 NODES = {
     "recursive_descent": (node_query(lambda n: n.select("doc_id", "path_text", "kind")), f"SELECT doc_id, p.path AS path_text, p.kind AS kind FROM ({TREE}) d, LATERAL (VALUES ('$', 'map'), ('$.id', 'scalar'), ('$.tags', 'seq'), ('$.tags[0]', 'scalar'), ('$.tags[1]', 'scalar'), ('$.props', 'map'), ('$.props.k', 'scalar')) p(path, kind)"),
@@ -319,8 +361,8 @@ NODES = {
     "mixed_sort": (evaluated('[.tags[1], .id, null, true, 2.5, false] | sort | .[0:3]'), f"SELECT doc_id, '[null,false,true]' AS value FROM ({TREE})"),
     "ancestors": (node_query(lambda n: nodes.ancestors(n, "$.tags[1]").select("doc_id", "path_text")), f"SELECT doc_id, p.path AS path_text FROM ({TREE}) d, (VALUES ('$'), ('$.tags')) p(path)"),
     "descendants": (node_query(lambda n: nodes.descendants(n, "$.tags").select("doc_id", "path_text")), f"SELECT doc_id, p.path AS path_text FROM ({TREE}) d, (VALUES ('$.tags'), ('$.tags[0]'), ('$.tags[1]')) p(path)"),
-    "find_anchors": (node_query(lambda n: nodes.anchors(n, "$.id")), f"SELECT doc_id, '$.id' AS path_text, 7::INT AS start_byte, (7 + length(doc_id::VARCHAR))::INT AS end_byte FROM ({TREE})"),
-    "resolve_path": (node_query(lambda n: nodes.resolve(n, 7)), f"SELECT doc_id, '$.id' AS path_text FROM ({TREE})"),
+    "find_anchors": (node_query(lambda n: nodes.anchors(n, "$.id"), places=True), f"SELECT doc_id, '$.id' AS path_text, 7::INT AS start_byte, (7 + length(doc_id::VARCHAR))::INT AS end_byte FROM ({TREE})"),
+    "resolve_path": (node_query(lambda n: nodes.resolve(n, 7), places=True), f"SELECT doc_id, '$.id' AS path_text FROM ({TREE})"),
     "root_value_kind": (node_query(nodes.root_kinds), f"SELECT doc_id, 'map' AS kind, '!!map' AS tag FROM ({TREE})"),
     "node_preview": (node_query(lambda n: nodes.preview(n, "$.tags[1]")), f"SELECT doc_id, 'scalar' AS kind, '!!str' AS tag, t AS value, true AS is_scalar FROM ({TREE})"),
     "direct_children": (lambda spark, sf_dir: nodes.direct_children(nation_nodes(spark, sf_dir), "$").select("doc_id", "label", "value", "is_container"), f"SELECT doc_id, key AS label, value, false AS is_container FROM ({NATION_SCALARS})"),
@@ -334,7 +376,13 @@ NODES = {
     "diff_sequences": (diff_sequences, "SELECT o_orderkey::BIGINT AS doc_id, p.path AS path_text, p.op AS op, p.a AS value_old, p.b AS value_new FROM orders, (VALUES ('$.a[0]', 'insert', NULL, 'front'), ('$.a[4]', 'delete', 'end', NULL), ('$.b[1]', 'change', '2', '3')) p(path, op, a, b)"),
     "structured_equality": (same_structure, "SELECT o_orderkey AS doc_id, o_orderkey % 7 <> 0 AS same FROM orders WHERE o_orderkey % 10 <> 0"),
     "graph_delta": (delta, "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 10 = 0 THEN 'removed' ELSE 'updated' END AS op FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 = 0"),
-    "line_diff": (line_diff, "SELECT p_partkey AS doc_id, 'delete' AS op, 1::INT AS line, p_name AS text FROM part UNION ALL SELECT p_partkey, 'insert', 1, p_brand FROM part UNION ALL SELECT p_partkey, 'insert', 3, 'end' FROM part"),
+    "line_diff": (line_diff, LINE_DIFF),
+    "line_diff_histogram": (histogram_diff, LINE_DIFF),
+    "inline_diff": (inline_diff, "SELECT o_orderkey AS doc_id, '$.o_orderstatus' AS path_text, p.op AS op, 0::INT AS offset, 1::INT AS length FROM orders, (VALUES ('delete'), ('insert')) p(op) WHERE o_orderkey % 10 <> 0 AND o_orderkey % 7 = 0 AND o_orderstatus <> 'X'"),
+    "graph_stable_id": (node_query(lambda n: nodes.graph(n)[0].groupBy("shape", "path_text").agg(F.count_distinct("graph_id").alias("ids"), F.count("*").alias("n"))), "SELECT p.shape AS shape, p.path AS path_text, 1::BIGINT AS ids, count(*) AS n FROM events, (VALUES ('object', '$'), ('table', '$.tags'), ('object', '$.props')) p(shape, path) GROUP BY 1, 2"),
+    "optional_field": (evaluated("[.id.x?, .props.k?, (.tags | .[]? )] | length"), f"SELECT doc_id, '3' AS value FROM ({TREE})"),
+    "preview_kinds": (preview_kinds, "SELECT n_nationkey, p.no::INT AS no, p.kind AS kind FROM nation, (VALUES (0, 'image'), (1, 'url'), (2, 'colour'), (3, 'jwt'), (4, 'percent'), (5, 'escapes'), (6, 'date'), (7, 'none')) p(no, kind)"),
+    "streamed_chunks": (streamed, "SELECT n_nationkey::BIGINT AS doc_id, p.path AS path_text, p.value AS value FROM nation, LATERAL (VALUES ('$.id', n_nationkey::VARCHAR), ('$.tags[0]', 'a'), ('$.tags[1]', n_name)) p(path, value)"),
     "yaml_round_trip": (converted("yaml"), f"SELECT doc_id, '[' || doc_id || ',' || k || ']' AS value FROM ({TREE})"),
     "toml_round_trip": (converted("toml"), f"SELECT doc_id, '[' || doc_id || ',' || k || ']' AS value FROM ({TREE})"),
     "python_round_trip": (converted("python"), f"SELECT doc_id, '[' || doc_id || ',' || k || ']' AS value FROM ({TREE})"),

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import ast
 import csv
+import functools
 import io
 import json
 import math
 import re
+import sys
 import tomllib
 from collections.abc import Callable
 
@@ -49,6 +51,8 @@ def decode_json(s: str) -> list:
         return [json.loads(s.removeprefix("\ufeff"), object_pairs_hook=no_repeats, parse_constant=strange)]
     except json.JSONDecodeError as x:
         raise FormatError(str(x)) from None
+    except RecursionError:
+        raise FormatError("the text is nested too deeply") from None
 
 
 def encode_json(v, indent: int = 2, **_) -> str:
@@ -67,10 +71,11 @@ def encode_json(v, indent: int = 2, **_) -> str:
 # yaml
 
 
+@functools.lru_cache(maxsize=1)
 def yaml_loader():
     import yaml
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         """Mappings in order; `<<` is a plain key; dates stay texts with a tag of their own; texts as keys."""
 
     Loader.yaml_implicit_resolvers = {k: [(t, r) for t, r in v if t != "tag:yaml.org,2002:merge"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
@@ -93,15 +98,22 @@ def decode_yaml(s: str) -> list:
         raise FormatError(str(x)) from None
 
 
-def encode_yaml(v, indent: int = 2, **_) -> str:
+@functools.lru_cache(maxsize=1)
+def yaml_dumper():
     import yaml
 
-    class Dumper(yaml.SafeDumper):
+    class Dumper(getattr(yaml, "CSafeDumper", yaml.SafeDumper)):
         def ignore_aliases(self, data):
             return True
 
     Dumper.add_representer(Tagged, lambda d, x: d.represent_scalar("tag:yaml.org,2002:timestamp" if x.tag == "!!timestamp" else x.tag, str(x)))
-    out = yaml.dump(v, Dumper=Dumper, sort_keys=False, allow_unicode=True, default_flow_style=indent == 0, indent=indent or 2, width=1 << 20)
+    return Dumper
+
+
+def encode_yaml(v, indent: int = 2, **_) -> str:
+    import yaml
+
+    out = yaml.dump(v, Dumper=yaml_dumper(), sort_keys=False, allow_unicode=True, default_flow_style=indent == 0, indent=indent or 2, width=1 << 20)
     return out.removesuffix("...\n").rstrip("\n")
 
 
@@ -118,7 +130,7 @@ def decode_toml(s: str) -> list:
 
     try:
         return [plain(tomllib.loads(s.removeprefix("\ufeff")))]
-    except tomllib.TOMLDecodeError as x:
+    except (tomllib.TOMLDecodeError, RecursionError) as x:
         raise FormatError(str(x)) from None
 
 
@@ -174,10 +186,13 @@ def encode_toml(v, **_) -> str:
 
 # csv
 
+#: A cell may be as long as a text.
+csv.field_size_limit(sys.maxsize)
+
 
 def cell(s: str):
-    """Typed as far as it can be told; an empty cell is an empty text, one that begins with # a comment and so null."""
-    if s.startswith("#"):
+    """Typed as far as it can be told; an empty cell is null, and one that begins with #, a comment, as well."""
+    if not s or s.startswith("#"):
         return None
     low = s.lower()
     if low in ("true", "false", "y", "n", "yes", "no"):
@@ -193,7 +208,10 @@ def cell(s: str):
 
 def decode_csv(s: str) -> list:
     """The first row names the fields; a row that is too short has nulls, further cells of a long one are dropped."""
-    rows = [r for r in csv.reader(io.StringIO(s.removeprefix("\ufeff"), newline=""), strict=True) if r]
+    try:
+        rows = [r for r in csv.reader(io.StringIO(s.removeprefix("\ufeff"), newline=""), strict=True) if r]
+    except csv.Error as x:
+        raise FormatError(str(x)) from None
     if not rows:
         return [[]]
     return [[{k: cell(r[n]) if n < len(r) else None for n, k in enumerate(rows[0])} for r in rows[1:]]]
@@ -229,7 +247,7 @@ def decode_python(s: str) -> list:
     try:
         tree = ast.parse(s.strip() or "None")
         return [python_value(node.value) for node in tree.body if isinstance(node, ast.Expr)]
-    except (SyntaxError, RecursionError, AttributeError) as x:
+    except (SyntaxError, RecursionError, MemoryError, AttributeError, TypeError, ValueError) as x:
         raise FormatError(str(x)) from None
 
 
@@ -392,7 +410,11 @@ ENCODERS = {"json": encode_json, "yaml": encode_yaml, "toml": encode_toml, "csv"
 
 
 def decode_all(s: str, name: str) -> list:
-    return DECODERS[format_named(name)](s)
+    """The documents of a text; what is not of the format, or is nested too deeply to be read, raises FormatError."""
+    try:
+        return DECODERS[format_named(name)](s)
+    except (RecursionError, OverflowError, IndexError) as x:
+        raise FormatError(str(x)) from None
 
 
 def decode(s: str, name: str):
@@ -403,7 +425,10 @@ def decode(s: str, name: str):
 
 def encode(v, name: str, **options) -> str:
     """indent: columns of indentation; 0 asks for one line where the format has it."""
-    return ENCODERS[format_named(name)](v, **options)
+    try:
+        return ENCODERS[format_named(name)](v, **options)
+    except RecursionError:
+        raise FormatError("the value is nested too deeply") from None
 
 
 def convert(s: str, source: str, target: str, **options) -> str:
@@ -429,7 +454,8 @@ LOOKED_AT, PER_HIT, PER_RIVAL = 1024, 15, 5
 
 
 def guess_format(s: str) -> str:
-    """By signs in the first characters, less for signs that several formats have; json where nothing speaks, and last of equals."""
+    """By signs in the first LOOKED_AT characters, less for signs that several formats have; json where nothing speaks, and
+    last of equals. A text's beginning is what tells its format; decoding reads all of it."""
     head = s[:LOOKED_AT]
     hits = {name: sum(re.search(p, head, re.M) is not None for p in signs) for name, signs in SIGNS.items()}
     rivals = sum(n > 0 for n in hits.values()) - 1

@@ -32,6 +32,19 @@ def null_input(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.col("id").alias("doc_id"), F.lit("null").alias("text"))
 
 
+#: An input of less than so many bytes for each core is dealt anew before it goes to Python.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input lies in a split or two, which keep one core busy in a Python stage: it is dealt to all of them. A large
+    one has splits enough and stays where it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def mapped(df: DataFrame, one, ddl: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
@@ -41,7 +54,7 @@ def mapped(df: DataFrame, one, ddl: str, names: list[str], kinds: list[pa.DataTy
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], schema=schema)
 
-    return df.mapInArrow(run, ddl)
+    return spread(df).mapInArrow(run, ddl)
 
 
 KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
@@ -56,14 +69,14 @@ def evaluate(df: DataFrame, expression: str = ".", source: str | None = "json",
             if text is None:
                 return
             found = codecs.decode_all(text, source or codecs.guess_format(text))
-        except ValueError as x:
+        except (ValueError, RecursionError) as x:
             yield doc_id, 0, 0, None, str(x)
             return
         for k, v in enumerate(found):
             try:
                 for n, m in enumerate(tree.evaluate(e, v, variables, seed)):
                     yield doc_id, k, n, canonical(m) if target == "json" and not indent else codecs.encode(m, target, indent=indent), None
-            except (ValueError, TypeError, AttributeError, KeyError) as x:
+            except (ValueError, TypeError, AttributeError, KeyError, RecursionError) as x:
                 yield doc_id, k, 0, None, str(x)
 
     return mapped(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), one, RESULT, FIELDS, KINDS)
@@ -76,7 +89,7 @@ def convert(df: DataFrame, source: str | None, target: str, indent: int = 2) ->
         try:
             out = None if text is None else codecs.convert(text, source or codecs.guess_format(text), target, indent=indent)
             yield doc_id, out, None
-        except ValueError as x:
+        except (ValueError, RecursionError) as x:
             yield doc_id, None, str(x)
 
     return mapped(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), one, "doc_id long, text string, error string", ["doc_id", "text", "error"], [pa.int64(), pa.string(), pa.string()])

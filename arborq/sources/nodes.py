@@ -7,6 +7,7 @@ each node's place in bytes. A document is decoded in one task; everything after
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,61 +15,135 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborq.operators import values as V
-from arborq.sources import codecs
-from arborq.sources.push import Parser, path_text
+from arborq.sources import codecs, documents
+from arborq.sources.push import Parser, step_text
 
 DDL = "doc_id long, node_id int, parent_id int, ordinal int, key string, seq_index int, kind string, tag string, value string, path array<struct<k:string,i:int>>, path_text string, depth int, preorder int, subtree_end int, start_byte int, end_byte int"
 STEP = pa.struct([("k", pa.string()), ("i", pa.int32())])
 SCHEMA = pa.schema([("doc_id", pa.int64()), *[(n, pa.int32()) for n in ("node_id", "parent_id", "ordinal")], ("key", pa.string()), ("seq_index", pa.int32()), *[(n, pa.string()) for n in ("kind", "tag", "value")], ("path", pa.list_(STEP)), ("path_text", pa.string()), *[(n, pa.int32()) for n in ("depth", "preorder", "subtree_end", "start_byte", "end_byte")]])
 
 
-def steps(path) -> list[dict]:
-    return [{"k": None, "i": p} if isinstance(p, int) else {"k": p, "i": None} for p in path]
+NAMES = SCHEMA.names
 
 
-def json_rows(doc_id, text: str) -> list[list]:
+class Rows:
+    """Nodes by column, as Arrow takes them."""
+
+    def __init__(self):
+        self.lists: dict[str, list] = {n: [] for n in NAMES}
+
+    def __len__(self) -> int:
+        return len(self.lists["doc_id"])
+
+    def add(self, *values) -> None:
+        for column, v in zip(self.lists.values(), values, strict=True):
+            column.append(v)
+
+    def batch(self) -> pa.RecordBatch:
+        paths = self.lists["path"]
+        ends = [0, *itertools.accumulate(map(len, paths))]
+        flat = list(itertools.chain.from_iterable(paths))
+        parts = pa.StructArray.from_arrays([pa.array([None if type(k) is int else k for k in flat], pa.string()), pa.array([k if type(k) is int else None for k in flat], pa.int32())], fields=list(STEP))
+        columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts) if n == "path" else pa.array(self.lists[n], SCHEMA.field(n).type) for n in NAMES]
+        return pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
+
+
+def json_rows(out: Rows, doc_id, text: str) -> None:
+    """Nodes with their places in bytes."""
     parser, rows = Parser(), {}
     for what, n in parser.feed(text.encode(), close=True):
         if what == "start":
-            above = rows[n.parent][9] if n.parent >= 0 else ()
-            path = (*above, n.key if n.key is not None else n.index) if n.parent >= 0 else ()
-            rows[n.number] = [doc_id, n.number, n.parent if n.parent >= 0 else None, n.ordinal, n.key, n.index, n.kind, n.tag, n.value, path, path_text(path), n.depth, n.number, n.number, n.start, None]
+            above = rows[n.parent] if n.parent >= 0 else None
+            step = n.key if n.key is not None else n.index
+            path, shown = ((*above[9], step), above[10] + step_text(step)) if above else ((), "$")
+            rows[n.number] = [doc_id, n.number, n.parent if n.parent >= 0 else None, n.ordinal, n.key, n.index, n.kind, n.tag, n.value, path, shown, n.depth, n.number, n.number, n.start, None]
         else:
             rows[n.number][13], rows[n.number][15] = n.last, n.end
-    return list(rows.values())
+    for r in rows.values():
+        out.add(*r)
+
+
+class Pairs(list):
+    """An object's members, repeated keys among them."""
+
+
+class Whole(str):
+    """A whole number as written."""
+
 
+class Fraction(str):
+    """A fraction as written."""
 
-def value_rows(doc_id, v) -> list[list]:
-    rows: list[list] = []
 
-    def walk(x, parent, ordinal, path):
-        k, last = len(rows), path[-1] if path else None
-        rows.append([doc_id, k, parent, ordinal, last if isinstance(last, str) else None, last if isinstance(last, int) else None, V.kind(x), V.tag(x), None if V.is_container(x) else V.text(x), path, path_text(path), len(path), k, k, None, None])
-        inner = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ()
-        for n, (key, y) in enumerate(inner):
-            walk(y, k, n, (*path, key))
-        rows[k][13] = len(rows) - 1
+def not_json(name: str):
+    raise ValueError(f"{name} is not JSON")
 
-    walk(v, None, 0, ())
-    return rows
 
+PLAIN = json.JSONDecoder(object_pairs_hook=Pairs, parse_int=Whole, parse_float=Fraction, parse_constant=not_json)
 
-def node_table(df: DataFrame, source: str = "json") -> DataFrame:
-    """df (doc_id, text) to its node table. Texts that do not decode give no rows (documents.evaluate reports them)."""
+
+def plain_json(text: str):
+    return PLAIN.decode(text.removeprefix("\ufeff"))
+
+
+KINDS = {Pairs: ("map", "!!map"), dict: ("map", "!!map"), list: ("seq", "!!seq"), Whole: ("scalar", "!!int"), Fraction: ("scalar", "!!float"), str: ("scalar", "!!str"), bool: ("scalar", "!!bool"), type(None): ("scalar", "!!null")}
+
+
+def value_rows(out: Rows, doc_id, v) -> None:
+    """Nodes of a value, without places. No recursion: a value may be nested as deeply as its decoder reads."""
+    lists = out.lists
+    base = len(out)
+    todo = [(v, None, 0, None, "", "$", 0)]
+    open_: list[tuple[int, int]] = []  # number and depth of the containers on the way
+    add = [c.append for c in lists.values()]
+    last = lists["subtree_end"]
+    paths = lists["path"]
+    while todo:
+        x, parent, ordinal, step, _, shown, depth = todo.pop()
+        k = len(last) - base
+        while open_ and open_[-1][1] >= depth:
+            last[base + open_.pop()[0]] = k - 1
+        kind = type(x)
+        about = KINDS.get(kind) or (V.kind(x), V.tag(x))
+        inner = about[0] != "scalar"
+        path = () if parent is None else (*paths[base + parent], step)
+        value = None if inner else "null" if x is None else ("true" if x else "false") if kind is bool else str(x) if kind in (Whole, Fraction, str) else V.text(x)
+        named = type(step) is not int
+        for put, item in zip(add, (doc_id, k, parent, ordinal, step if named else None, None if named else step, *about, value, path, shown, depth, k, k, None, None), strict=True):
+            put(item)
+        if inner and x:
+            open_.append((k, depth))
+            members = enumerate(x) if kind is list else x if kind is Pairs else x.items()
+            todo += [(y, k, n, key, None, shown + step_text(key), depth + 1) for n, (key, y) in reversed(list(enumerate(members)))]
+    for k, _ in open_:
+        last[base + k] = len(last) - base - 1
+
+
+def node_table(df: DataFrame, source: str = "json", places: bool = True) -> DataFrame:
+    """df (doc_id, text) to its node table. places: whether JSON nodes have start_byte and end_byte, which takes a slower
+    parser. Texts that do not decode give no rows (documents.evaluate reports them)."""
     name = codecs.format_named(source)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text is None:
+                    continue
                 try:
-                    rows = [] if text is None else json_rows(doc_id, text) if name == "json" else value_rows(doc_id, codecs.decode(text, name))
-                except ValueError:
-                    rows = []
-                for k in range(0, len(rows), 10_000):
-                    part = [[*r[:9], steps(r[9]), *r[10:]] for r in rows[k : k + 10_000]]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*part, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+                    if name == "json" and places:
+                        json_rows(rows, doc_id, text)
+                    else:
+                        value_rows(rows, doc_id, plain_json(text) if name == "json" else codecs.decode(text, name))
+                except (ValueError, RecursionError):
+                    continue
+                if len(rows) >= 10_000:
+                    yield rows.batch()
+                    rows = Rows()
+        if len(rows):
+            yield rows.batch()
 
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(build, DDL)
+    return documents.spread(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(build, DDL)
 
 
 def typed_nodes(df: DataFrame, doc_id: str, names: list[str]) -> DataFrame:
@@ -167,14 +242,11 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("op", op).where("op IS NOT NULL").select("doc_id", "path_text", "op", "value_old", "value_new")
 
 
-MOST_EDITS = 1000
-
-
-def shortest_edits(a: list, b: list, most: int = MOST_EDITS) -> list[tuple[str, int, int]] | None:
+def shortest_edits(a: list, b: list, most: int | None = None) -> list[tuple[str, int, int]] | None:
     """The fewest insertions and deletions from a to b, as (keep, delete or insert, place in a, place in b); None if more
-    than `most`. Greedy furthest-reaching paths by diagonal."""
+    than `most`. Greedy furthest-reaching paths by diagonal; work and memory grow with the square of the edits."""
     n, m, reach, trail = len(a), len(b), {1: 0}, []
-    for d in range(min(n + m, most) + 1):
+    for d in range((n + m if most is None else min(n + m, most)) + 1):
         trail.append(dict(reach))
         for k in range(-d, d + 1, 2):
             down = k == -d or k != d and reach[k - 1] < reach[k + 1]
@@ -203,19 +275,32 @@ def walked(trail: list[dict], x: int, y: int) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
-def aligned(a: list, b: list) -> tuple[list[int], list[int]]:
-    """The places of a to delete and of b to insert; what is equal at both ends is left out first."""
+def numbered(*sides: list) -> list[list[int]]:
+    """Elements as small numbers, equal where they are equal."""
+    numbers: dict = {}
+    return [[numbers.setdefault(x, len(numbers)) for x in side] for side in sides]
+
+
+def aligned(a: list, b: list, most: int | None = None) -> tuple[list[int], list[int], bool]:
+    """The places of a to delete and of b to insert, and whether that is exact: beyond `most` edits it is not, and all
+    between the equal ends is deleted and inserted. What is equal at both ends, and what only one side has at all, is left
+    out of the search."""
+    a, b = numbered(a, b)
     front = 0
     while front < min(len(a), len(b)) and a[front] == b[front]:
         front += 1
     back = 0
     while back < min(len(a), len(b)) - front and a[-1 - back] == b[-1 - back]:
         back += 1
-    x, y = a[front : len(a) - back], b[front : len(b) - back]
-    edits = shortest_edits(x, y)
+    left, right = range(front, len(a) - back), range(front, len(b) - back)
+    both = {a[i] for i in left} & {b[j] for j in right}
+    x, y = [i for i in left if a[i] in both], [j for j in right if b[j] in both]
+    edits = shortest_edits([a[i] for i in x], [b[j] for j in y], most)
     if edits is None:
-        return [front + k for k in range(len(x))], [front + k for k in range(len(y))]
-    return [front + i for op, i, _ in edits if op == "delete"], [front + j for op, _, j in edits if op == "insert"]
+        return list(left), list(right), False
+    kept = {x[i]: y[j] for op, i, j in edits if op == "keep"}
+    stay = set(kept.values())
+    return [i for i in left if i not in kept], [j for j in right if j not in stay], True
 
 
 NODE = ["node_id", "parent_id", "ordinal", "key", "kind", "tag", "value", "path_text"]
@@ -279,7 +364,7 @@ def diff_trees(a: Side, b: Side) -> Iterator[tuple]:
             left, right = a.keyed(x), b.keyed(y)
             todo += [(left.get(k), right.get(k)) for k in {**left, **right}]
         elif old[4] == new[4] == "seq":
-            gone, come = aligned([a.same[k] for k in a.inner[x]], [b.same[k] for k in b.inner[y]])
+            gone, come, _ = aligned([a.same[k] for k in a.inner[x]], [b.same[k] for k in b.inner[y]])
             for i, j in itertools.zip_longest(gone, come):
                 if i is not None and i == j:
                     todo.append((a.inner[x][i], b.inner[y][j]))
@@ -294,8 +379,8 @@ def diff_trees(a: Side, b: Side) -> Iterator[tuple]:
 
 def diff_sequences(old: DataFrame, new: DataFrame) -> DataFrame:
     """diff() of node tables with sequences: a document's two versions meet in one task and are compared from the root
-    down, mappings by key, sequences by the fewest edits over the content of their elements (more than MOST_EDITS: place by
-    place). doc_ids are unique; documents with a null doc_id have no other version."""
+    down, mappings by key, sequences by the fewest edits over the content of their elements. doc_ids are unique; documents
+    with a null doc_id have no other version."""
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
         numbers: dict = {}
@@ -317,24 +402,116 @@ def same_structure(old: DataFrame, new: DataFrame) -> DataFrame:
     return ids.join(diff(old, new).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.col("n").isNull().alias("same"))
 
 
-def diff_lines(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Texts (doc_id, text) line by line: the lines inserted and deleted, with their numbers from 0."""
+LINES_DDL = "doc_id long, op string, line int, text string, exact boolean"
+
+
+def diff_lines(old: DataFrame, new: DataFrame, method: str = "myers", most: int | None = None) -> DataFrame:
+    """Texts (doc_id, text) line by line: the lines inserted and deleted, with their numbers from 0. A line's end, \\n or
+    \\r\\n, is no part of it, so that texts which differ in those alone have no rows.
+
+    method: "myers", the fewest edits; or "histogram", which splits at the lines that are rarest in both texts, as people
+    would, and may take more. most: a bound of edits for either; where one text's search goes beyond it, all lines between
+    the equal ends are deleted and inserted, and `exact` says so. Without a bound every row is exact. A null text has no
+    lines; repeated doc_ids meet each with each.
+    """
     both = old.select(F.col("doc_id").cast("long"), F.col("text").alias("a")).join(new.select(F.col("doc_id").cast("long"), F.col("text").alias("b")), "doc_id", "full")
-    schema = pa.schema([("doc_id", pa.int64()), ("op", pa.string()), ("line", pa.int32()), ("text", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("op", pa.string()), ("line", pa.int32()), ("text", pa.string()), ("exact", pa.bool_())])
+    compare_ = {"myers": aligned, "histogram": by_histogram}[method]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for d, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = (a or "").split("\n") if a is not None else [], (b or "").split("\n") if b is not None else []
-                edits = shortest_edits(x, y)
-                if edits is None:
-                    edits = [("delete", k, 0) for k in range(len(x))] + [("insert", len(x), k) for k in range(len(y))]
-                rows += [(d, op, i if op == "delete" else j, x[i] if op == "delete" else y[j]) for op, i, j in edits if op != "keep"]
+                x, y = lines_of(a), lines_of(b)
+                gone, come, exact = compare_(x, y, most)
+                rows += [(d, "delete", k, x[k], exact) for k in gone] + [(d, "insert", k, y[k], exact) for k in come]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return both.mapInArrow(compare, "doc_id long, op string, line int, text string")
+    return both.mapInArrow(compare, LINES_DDL)
+
+
+def lines_of(text: str | None) -> list[str]:
+    return [] if text is None else text.replace("\r\n", "\n").split("\n")
+
+
+#: A line that comes more often than this in the first text is no place to split at.
+COMMON_LINE = 64
+
+
+def by_histogram(a: list, b: list, most: int | None = None) -> tuple[list[int], list[int], bool]:
+    """aligned() by splitting at the longest run of equal lines around the rarest line, and again on both sides of it;
+    regions whose lines are all frequent, or that share none, go to the fewest edits."""
+    a, b = numbered(a, b)
+    gone, come, exact = [], [], True
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+        if a0 == a1 or b0 == b1:
+            gone += range(a0, a1)
+            come += range(b0, b1)
+            continue
+        where: dict[int, list[int]] = {}
+        for i in range(a0, a1):
+            where.setdefault(a[i], []).append(i)
+        best = None
+        j = b0
+        while j < b1:
+            after = j + 1
+            for i in where.get(b[j], ()) if len(where.get(b[j], ())) <= COMMON_LINE else ():
+                low, high = 0, 1
+                rare = len(where[b[j]])
+                while i - low > a0 and j - low > b0 and a[i - low - 1] == b[j - low - 1]:
+                    low += 1
+                    rare = min(rare, len(where[a[i - low]]))
+                while i + high < a1 and j + high < b1 and a[i + high] == b[j + high]:
+                    rare = min(rare, len(where[a[i + high]]))
+                    high += 1
+                after = max(after, j + high)
+                key = (rare, -(low + high))
+                if best is None or key < best[0]:
+                    best = (key, i - low, i + high, j - low, j + high)
+            j = after
+        if best is None:
+            x, y, good = aligned(a[a0:a1], b[b0:b1], most)
+            gone += [a0 + k for k in x]
+            come += [b0 + k for k in y]
+            exact = exact and good
+            continue
+        _, i0, i1, j0, j1 = best
+        todo += [(a0, i0, b0, j0), (i1, a1, j1, b1)]
+    return sorted(gone), sorted(come), exact
+
+
+#: Fixed value: beyond so many edits of characters a changed value is marked whole.
+INLINE_EDITS = 100
+
+
+def inline_edits(old: str, new: str, most: int | None = INLINE_EDITS) -> list[tuple[str, int, int]]:
+    """(op, offset, length) in code points for runs of characters deleted from old and inserted in new; of more than
+    `most` edits the whole texts (most None: never)."""
+    gone, come, _ = aligned(list(old), list(new), most)
+    out = []
+    for op, places in (("delete", gone), ("insert", come)):
+        for _, run in itertools.groupby(enumerate(places), key=lambda x: x[1] - x[0]):
+            found = [k for _, k in run]
+            out.append((op, found[0], len(found)))
+    return out
+
+
+def with_inline(changes: DataFrame, most: int | None = INLINE_EDITS) -> DataFrame:
+    """diff() with a row for each run of characters that a changed value lost or got: (doc_id, path_text, op, offset,
+    length). Rows of inserted and deleted values stand for themselves and are left out."""
+
+    def one(doc_id, path, old, new):
+        return [(doc_id, path, *x) for x in inline_edits(old or "", new or "", most)]
+
+    changed = changes.where("op = 'change'").select("doc_id", "path_text", "value_old", "value_new")
+    return documents.mapped(changed, one, "doc_id long, path_text string, op string, offset int, length int", ["doc_id", "path_text", "op", "offset", "length"], [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()])
 
 
 # graph and tables

@@ -20,13 +20,13 @@ from arborq.sources.push import Parser, PushError, path_text
 
 OUT = "document_key string, request_seq long, patch_seq long, op string, node_id int, path_text string, kind string, tag string, value string, message string"
 STATE = "blob binary"
-#: Bytes of a chunk by the size of the document, for splitting.
+#: Bytes of a chunk of documents that are smaller than the first number.
 SIZES = ((4 << 20, 128 << 10), (10 << 20, 256 << 10))
 LARGEST = 1 << 20
 
 
 def chunk_size(total: int) -> int:
-    return next((size for most, size in SIZES if total <= most), LARGEST)
+    return next((size for most, size in SIZES if total < most), LARGEST)
 
 
 class Document:
@@ -128,7 +128,7 @@ def split_chunks(df: DataFrame, key: Column, text: Column, size: int | None = No
     """Documents as rows of chunks, cut by bytes wherever that falls; the size follows the document's if none is given."""
     data = text.cast("binary")
     n = F.octet_length(text)
-    step = F.lit(size) if size else F.when(n <= SIZES[0][0], SIZES[0][1]).when(n <= SIZES[1][0], SIZES[1][1]).otherwise(LARGEST)
+    step = F.lit(size) if size else F.when(n < SIZES[0][0], SIZES[0][1]).when(n < SIZES[1][0], SIZES[1][1]).otherwise(LARGEST)
     last = F.floor((F.greatest(n, F.lit(1)) - 1) / step).cast("int")
     rows = df.select(key.cast("string").alias("document_key"), data.alias("__data"), step.alias("__step"), last.alias("__last")).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("__last"))))
     return rows.select("document_key", F.lit(request_seq).cast("long").alias("request_seq"), "chunk_no", F.substring("__data", F.col("chunk_no") * F.col("__step") + 1, F.col("__step")).alias("bytes"), (F.col("chunk_no") == F.col("__last")).alias("is_close"))

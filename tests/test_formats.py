@@ -6,7 +6,7 @@ import pytest
 
 from arborq.operators import values as V
 from arborq.sources import codecs
-from arborq.sources.nodes import shortest_edits
+from arborq.sources.nodes import aligned, by_histogram, inline_edits, shortest_edits
 from arborq.sources.push import Parser, PushError, parse_path, path_text
 
 VALUE = {"s": "a\"b\n'é", "i": -3, "f": 1.0, "t": True, "o": {"x": [1, [2.5, "y"]], "e": {}}, "rows": [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]}
@@ -48,7 +48,7 @@ def test_toml_dates_tables_and_dotted_keys():
 
 def test_csv_types_and_shapes():
     text = '﻿a,b,c\n1,"x,y",true\n2.5,#note,\n007,z\n'
-    assert codecs.decode(text, "csv") == [{"a": 1, "b": "x,y", "c": True}, {"a": 2.5, "b": None, "c": ""}, {"a": "007", "b": "z", "c": None}]
+    assert codecs.decode(text, "csv") == [{"a": 1, "b": "x,y", "c": True}, {"a": 2.5, "b": None, "c": None}, {"a": "007", "b": "z", "c": None}]
     assert codecs.encode([{"a": 1, "b": None}, {"b": "x,y", "a": 2}], "csv") == 'a,b\n1,\n2,"x,y"'
     assert codecs.encode([[1, 2], ["a"]], "csv") == "1,2\na" and codecs.encode([1, None, "x"], "csv") == "1,,x"
     for bad in ([{"a": [1]}], {"a": 1}):
@@ -56,6 +56,20 @@ def test_csv_types_and_shapes():
             codecs.encode(bad, "csv")
 
 
+def test_texts_that_cannot_be_read_are_format_errors():
+    deep = 100_000
+    for name, text in (("json", "[" * deep), ("csv", 'a,b\n"x'), ("yaml", "[" * 3000), ("python", "(" * 3000), ("javascript", "[" * deep), ("toml", "a = " + "[" * deep)):
+        with pytest.raises(codecs.FormatError):
+            codecs.decode_all(text, name)
+    long = "x" * 200_000
+    assert codecs.decode(f"a,b\n{long},", "csv") == [{"a": long, "b": None}]
+    value = None
+    for _ in range(50_000):
+        value = [value]
+    with pytest.raises(codecs.FormatError):
+        codecs.encode(value, "json")
+
+
 def test_python_and_javascript_literals():
     assert codecs.decode_all("{'a': (1, 2), b: None}\n{3}", "python") == [{"a": [1, 2], "b": None}, [3]]
     js = "// head\nexport default {a: 'x\\u0041', 'b-c': [1, .5, 0x1F, -Infinity,], /* y */ d: undefined, e: `q\nr`};"
@@ -117,3 +131,20 @@ def test_edits_are_shortest_and_right():
             for j in range(len(b) + 1):
                 rows[i][j] = i + j if not i or not j else rows[i - 1][j - 1] if a[i - 1] == b[j - 1] else 1 + min(rows[i - 1][j], rows[i][j - 1])
         assert sum(op != "keep" for op, _, _ in edits) == rows[-1][-1]
+
+
+def test_line_diffs_and_inline_diffs():
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(14))] for _ in range(2))
+        for f in (aligned, by_histogram):
+            gone, come, exact = f(a, b)
+            assert exact and [x for i, x in enumerate(a) if i not in gone] == [x for j, x in enumerate(b) if j not in come]
+        assert sum(map(len, aligned(a, b)[:2])) == sum(op != "keep" for op, _, _ in shortest_edits(a, b))
+    a, b = list("xxyyxxyyxx"), list("yxyxyxyxy")
+    assert aligned(a, b, most=1) == (list(range(10)), list(range(9)), False)
+    left, right = [f"l{k}" for k in range(3000)] + ["same"], [f"r{k}" for k in range(3000)] + ["same"]
+    assert aligned(left, right)[2] and len(aligned(left, right)[0]) == 3000
+    assert by_histogram("header old-1 old-2 footer".split(), "header new-1 new-2 footer".split()) == ([1, 2], [1, 2], True)
+    assert inline_edits("8080", "9090") == [("delete", 0, 1), ("delete", 2, 1), ("insert", 0, 1), ("insert", 2, 1)]
+    assert inline_edits("a" * 200, "b" * 200) == [("delete", 0, 200), ("insert", 0, 200)]

@@ -21,6 +21,9 @@ SAME = [
     'map(.tags | contains(["y"]))', 'map(.tags | join("+"))', "map(.tags | reverse)", 'map(.tags - ["y"])', 'map(.tags + "w")', "map(.tags | map(tag))", "map(.name | tag)", "map(.name == null)", 'map(.name == "a*")', "map(.n < 2, .n >= 2)".replace(", .n >= 2", ""),
     "map([.id, .m] | max)", "map(.id as $x | $x * $x)", "map({id, k: (.id + 1)} | .k)", "map(.tags[0])", "map(.tags[-1])", "map(.tags | to_entries | map(.key))", "group_by(.name) | map(length)", "group_by(.name) | map(map(.id))",
     'map("\\(.id)-\\(.name)")', "map(.tags | any)", "map(has(\"id\"), has(\"no\"))".replace(", has(\"no\")", ""), "map(keys)", "map(.absent)", "map(del(.n, .tags) | keys)", "map(.tags | unique | length)", "map([.tags[] | select(. == \"y\")])", "map(.m |= . + 1 | .m)", "map(.id += .m | .id)", "map(.tags |= map(. + \"!\") | .tags)".replace(" + \"!\"", ""), "length", "map(.n) | max", "any_c(.id > 3)", "all_c(.id > 3)", ".[] as $x reduce (0; . + $x.id)", "map(.tags | .[] as $t reduce (0; . + ($t | length)))",
+    ".[-2:] | map(.id)", ".[-3:-1] | map(.id)", ".[:-1] | map(.id)", "map(.m) | min", "map(.m) | max", "map([.id, .m] | min)", "map(.id?)", "map([.name | match(\"a\"; \"g\") | .offset])".replace(".name", "(.name // \"xay\")"),
+    'map(["banana" | match("a"; "g") | .offset])', 'map(["banana" | match("a(n)?(?P<z>a)?"; "g") | .string])', 'map(["bénana" | match("n(a)"; "g") | .captures[0].offset])', 'map(["xyz" | match("a")] | length)', 'map(["banana" | capture("(?P<l>.)a"; "g") | .l])', 'map(["banana" | match("a") | .length])',
+    '.[].id as $r | .[] | .id * 10 + $r',
 ]
 
 
@@ -32,13 +35,14 @@ def values(rows):
 def test_columns_agree_with_documents(spark, expression):
     df = spark.createDataFrame(ROWS, SCHEMA)
     got = [r.asDict(recursive=True)["value"] for r in query(df, expression, ["id"], ordered=True).collect()]
-    want = evaluate(expression, values(ROWS))[0]
+    found = evaluate(expression, values(ROWS))
+    want = found if expression.startswith(".[].") else found[0]
     assert got == (want if isinstance(want, list) else [want])
 
 
 def test_what_has_no_type_is_refused(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    for bad in ["map([.id, .name])", "map(.name - 1)", "..", "map({(.name): 1})", "map($x)"]:
+    for bad in ["map([.id, .name])", "map(.name - 1)", "..", "map({(.name): 1})", "map($x)", 'map("x" | match("a"; "i"))']:
         with pytest.raises(Unsupported):
             query(df, bad, ["id"])
 
@@ -85,16 +89,35 @@ def test_queries_agree_with_their_sql(spark, sf, duck, name):
     assert sorted(repr([r[c] for c in sorted(df.columns)]) for r in df.collect()) == want
 
 
+@pytest.mark.parametrize("name", [k for k, q in queries.EXPRESSIONS.items() if q.ordered])
+def test_sorted_queries_are_sorted(spark, sf, duck, name):
+    assert [r.value for r in queries.QUERIES[name](spark, sf).collect()] == [r[0] for r in duck.execute(queries.ORACLE_SQL[name]).fetchall()]
+
+
+def test_node_tables_without_places(spark, sf):
+    texts = queries.prop_texts(spark, sf).limit(50).union(spark.createDataFrame([(-1, '{"d":1,"d":[2.50,{}],"e":{"f":[]},"g":null,"1":"x y"}'), (-2, "7"), (-3, "[NaN]")], "doc_id long, text string"))
+    both = [sorted(map(str, nodes.node_table(texts, places=p).drop("start_byte", "end_byte").collect())) for p in (True, False)]
+    assert both[0] == both[1] and len(both[0]) > 50
+
+
+def test_line_ends_are_no_change(spark):
+    old, new = (spark.createDataFrame([(1, a), (2, "x\ny")], "doc_id long, text string") for a in ("{\r\n a\r\n}", "{\n a\n}"))
+    assert nodes.diff_lines(old, new).count() == 0 and nodes.diff_lines(old, new, "histogram").count() == 0
+
+
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
 def test_bad_documents_are_rows_with_errors(spark):
-    df = spark.createDataFrame([(1, '{"a": 1}'), (2, "{bad"), (3, None), (4, '{"a": "x"}'), (5, "")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, '{"a": 1}'), (2, "{bad"), (3, None), (4, '{"a": "x"}'), (5, ""), (6, "[" * 100_000)], "doc_id long, text string")
     got = {r.doc_id: (r.value, r.error is not None) for r in documents.evaluate(df, ".a - 1").collect()}
-    assert got == {1: ("0", False), 2: (None, True), 4: (None, True), 5: (None, True)}
+    assert got == {1: ("0", False), 2: (None, True), 4: (None, True), 5: (None, True), 6: (None, True)}
     assert nodes.node_table(df).groupBy("doc_id").count().count() == 2
+    assert nodes.node_table(df, places=False).groupBy("doc_id").count().count() == 2
+    assert {r.doc_id for r in documents.convert(df, "json", "yaml").where("error IS NOT NULL").collect()} == {2, 5, 6}
+    assert documents.evaluate(spark.createDataFrame([(1, 'a,b\n"x')], "doc_id long, text string"), ".", source="csv").first().error
     assert documents.evaluate(documents.null_input(spark), "1 + 2").first().value == "3"
     assert documents.typed(documents.evaluate(df.limit(1), "."), "a long").first().a == 1
 
