@@ -256,4 +256,5 @@ def minimised(table: list[list[int]], accepts: list[frozenset[int]], kind_of: by
     tags = [accepts[one_of[b]] for b in order]
     accepting = next((i for i, a in enumerate(tags) if a), len(tags))
     dead = next((i for i, row in enumerate(rows) if not tags[i] and set(row) == {i}), -1)
-    return Dfa(kind_of, n_kinds, [t * n_kinds for row in rows for t in row], tags, accepting * n_kinds, at[block[0]] * n_kinds, dead * n_kinds if dead >= 0 else -1)
+    places = [k * n_kinds for k in range(len(rows))]  # one number object a state, not one an entry
+    return Dfa(kind_of, n_kinds, [places[t] for row in rows for t in row], tags, accepting * n_kinds, at[block[0]] * n_kinds, dead * n_kinds if dead >= 0 else -1)

@@ -46,7 +46,7 @@ SPARSE, LEAST_BITS, MOST_BITS = 6, 512, 8192
 #: times as many as the one before.
 CHUNK, LIKELIEST, GROWTH = 4096, 8, 8
 #: Bytes of text that are hashed at once; longer words are hashed one by one.
-AT_ONCE, LONG_WORD = 1 << 20, 64
+AT_ONCE, LONG_WORD = 1 << 18, 64
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,6 +198,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
     slice."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keeps("shingles", dict)
         counts = np.zeros(COUNTERS, np.uint32)
 
         def rows():
@@ -523,13 +524,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     seen = common.cut(first_pass(rows))
     table = table_of(seen)
     found = seen.where("slice = -1").select("doc_id", "sig", "n_shingles")
-    n = found.count()
-    classes = common.cut(found.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("__rows")), n)
+    classes = common.cut(found.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("__rows")))
     one = classes.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "sig")
     texts = rows.join(one.hint("shuffle_hash"), "doc_id")
     groups = common.cut(stars(prefixes(texts, table)))
     sketches = seen.where("slice = -1").join(one.hint("shuffle_hash"), ["doc_id", "sig"], "left_semi").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "sketch")
-    sketches = common.cut(sketches, 4 * n)
+    sketches = common.cut(sketches)
     pairs = groups.where("near").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
     parts = closed(rows, groups, verify(rows, pairs, sketches), sketches)
 

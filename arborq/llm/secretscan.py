@@ -159,6 +159,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     base = [r.kind for r in BASE]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keeps("secrets", scanner.cache_clear)
         find = scanner(rules).scan
 
         def rows():
@@ -184,6 +185,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keeps("secrets", scanner.cache_clear)
         find = scanner(rules).scan
         for batch in batches:
             columns = list(batch.columns)

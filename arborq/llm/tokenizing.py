@@ -26,7 +26,7 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f\u2010-\u2027]").search
 #: What may stand in plain text.
 PLAIN = "".join(map(chr, [9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x250), *range(0x2010, 0x2028)]))
-KEPT_WORDS, LONGEST = 400_000, 64
+KEPT_WORDS, LONGEST = 150_000, 64
 
 
 def ranges(kind: str) -> str:
@@ -119,7 +119,7 @@ def _encoder(path: str) -> Encoder:
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
     found = _encoder(path)
-    common.keeps(f"ids {path}", found.ids.clear)
+    common.keeps(f"ids {path}", _encoder.cache_clear)
     return found
 
 
