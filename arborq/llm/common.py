@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,10 +17,14 @@ HOT_KEYS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a temporary one."""
+    """The folder that driver and executors share. Only where the session names none and runs in one process (tests), a
+    temporary one; on a cluster that is an error, as such a folder goes with its machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arborq-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="arborq-checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -62,10 +68,22 @@ _KEPT: dict[str, Callable[[], None]] = {}
 
 def keeps(owner: str, clear: Callable[[], None]) -> None:
     """Called as a task begins: what other operators have kept in this process goes, so that workers which serve one
-    operator after the other hold the caches of one at a time."""
-    for other in [x for x in _KEPT if x != owner]:
+    operator after the other hold the caches of one at a time. What the worker has freed goes back to the machine."""
+    others = [x for x in _KEPT if x != owner]
+    for other in others:
         _KEPT.pop(other)()
+    if others:
+        gc.collect()
     _KEPT[owner] = clear
+    release()
+
+
+def release() -> None:
+    """Arrow's pool and the C library keep freed memory for later; an executor's limit counts it as used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+    if trim is not None:
+        trim(0)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
