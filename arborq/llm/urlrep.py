@@ -57,13 +57,34 @@ def pick(rules, host: Column, path: Column, field: str) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.element_at(F.split(host, r"\."), -1)
+#: Second labels that registries under two-letter country codes sell names below, as in example.co.uk.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*)\z"
 
 
-def domain_of(host: Column) -> Column:
-    parts = F.split(host, r"\.")
-    return F.when(F.size(parts) >= 2, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(host)
+def name_of(host: Column) -> Column:
+    """The host without user info, port and closing dots, as the levels above it are named."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*\z", ""), r"\.+\z", "")
+
+
+def levels_of(host: Column) -> dict[str, Column]:
+    """The registered domain and the suffix that a host is below.
+
+    A suffix is the last label, or the last two where a country code of two letters follows one of SECOND_LABELS; a
+    registered domain has one label more. A suffix by itself is its own domain; an IP address is its own domain and suffix,
+    so that it shares nothing with its numeric neighbours.
+    """
+    name = name_of(host)
+    labels = F.split(name, r"\.")
+    last, second = F.try_element_at(labels, F.lit(-1)), F.try_element_at(labels, F.lit(-2))
+    n = F.when(last.rlike(r"^[a-z]{2}\z") & F.coalesce(second.isin(*SECOND_LABELS), F.lit(False)), 2).otherwise(1)
+    address = name.rlike(ADDRESS)
+
+    def ending(k: Column) -> Column:
+        k = F.least(k, F.size(labels))
+        return F.when(address, name).otherwise(F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
+
+    return {"domain": ending(n + 1), "suffix": ending(n)}
 
 
 def strength(children: DataFrame, key: str, most: float) -> DataFrame:
@@ -83,14 +104,15 @@ def strength(children: DataFrame, key: str, most: float) -> DataFrame:
 def reputation(pages: DataFrame, most: float = 50.0, limit: float = 0.5, z: float = 1.0) -> DataFrame:
     """pages (host, bad boolean or null where unlabelled) to one row for each host: rows, outcomes, bad rate, bound, block.
 
-    Levels above the host are counted from host counts, so the pages are shuffled once, pre-aggregated. The table of
+    Levels above the host are counted from host counts, so the pages are shuffled once, pre-aggregated; host and domain
+    counts, each used on several branches, are cut once. The table of
     suffixes is joined by shuffle like the others; only the one-row total is broadcast.
     """
     labelled = F.col("bad").isNotNull()
     hosts = pages.groupBy("host").agg(F.count("*").alias("__rows"), F.sum(labelled.cast("long")).alias("n"), F.sum(F.coalesce(F.col("bad").cast("long"), F.lit(0))).alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = common.cut(hosts.withColumns(levels_of(F.col("host"))))
     known = hosts.where("n > 0")
-    domains = known.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = common.cut(known.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("all", F.lit(0))
     total = suffixes.groupBy("all").agg(F.sum("n").alias("n_all"), F.sum("bad").alias("bad_all"))
     top = total.join(strength(suffixes, "all", most).withColumnRenamed("worth", "w_all"), "all")
@@ -160,12 +182,16 @@ def sql(most: float = 50.0, limit: float = 0.5, z: float = 1.0) -> str:
         arms = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, field)}'" for r in sorted(RULES, key=lambda r: -len(r.text)))
         return f"CASE {arms} END"
 
+    seconds = ", ".join(f"'{x}'" for x in SECOND_LABELS)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""WITH page AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '{PARTS}', 1), ''), '{upper}', '{lower}') AS host, coalesce(regexp_extract(url, '{PARTS}', 2), '') AS path FROM pages),
 mark AS (SELECT doc_id AS page_id, bool_or(toxic = 1 OR quality = 0) AS bad FROM labels GROUP BY doc_id),
 counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad::INT), 0)::BIGINT AS bad FROM page LEFT JOIN mark USING (page_id) GROUP BY host),
-hosts AS (SELECT *, string_split(host, '.')[-1] AS suffix, CASE WHEN len(string_split(host, '.')) >= 2 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain FROM counted),
+named AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*\\z', ''), '\\.+\\z', '') AS name FROM counted),
+cut AS (SELECT *, regexp_matches(name, '{ADDRESS}') AS address, string_split(name, '.') AS labels FROM named),
+sized AS (SELECT *, CASE WHEN regexp_matches(labels[-1], '^[a-z]{{2}}\\z') AND coalesce(labels[-2] IN ({seconds}), false) THEN 2 ELSE 1 END AS k FROM cut),
+hosts AS (SELECT host, n, bad, CASE WHEN address THEN name ELSE array_to_string(labels[-k:], '.') END AS suffix, CASE WHEN address THEN name ELSE array_to_string(labels[-(k + 1):], '.') END AS domain FROM sized),
 known AS (SELECT * FROM hosts WHERE n > 0),
 domains AS (SELECT suffix, domain, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM known GROUP BY suffix, domain),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, 0 AS one FROM domains GROUP BY suffix),
