@@ -201,7 +201,8 @@ class Recogniser:
         self.hint = re.compile("licen[sc]e|permission|permitted|copyright|redistribut|neither|warranty|rights|unencumbered|advertising|endorse|universal|under cc|MPL|new (?:program|library)", re.I)
 
     def reach(self, node: dict, words: list[str], at: int, ends: set[int]) -> tuple[int, str] | None:
-        """The furthest of ends to which a known sentence leads from node on, and its identifier."""
+        """The furthest of ends to which a known sentence leads from node on, and its identifier; of sentences that lead
+        equally far, words go before a name."""
         best = None
         while True:
             if "" in node and at in ends and (best is None or at >= best[0]):

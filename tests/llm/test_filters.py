@@ -111,6 +111,20 @@ def test_host_reputation_blocks_by_an_absolute_limit(spark):
     assert 0.4 < got["skew.bad.net"].bad_bound < 0.5 and got["h1.site1.org"].bad_bound < 0.2
 
 
+def test_hosts_are_below_registered_domains(spark):
+    """Two-label suffixes, ports, user info, closing dots and addresses; bad names below co.uk say little of others there."""
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "x.example.com:8080": ("example.com", "com"), "u:p@y.example.com.": ("example.com", "com"),
+        "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "10.0.0.2": ("10.0.0.2", "10.0.0.2"), "[::1]:80": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "": ("", ""), "..": ("", ""), "x.co.com": ("co.com", "com"),
+        "a" * 100_000 + ".de": ("a" * 100_000 + ".de", "de"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: (r.domain, r.suffix) for r in hosts.select("host", *[c.alias(n) for n, c in urlrep.levels_of(hosts.host).items()]).collect()} == want
+    rows = [(f"h{k}.bad.co.uk", True) for k in range(40)] + [(f"h{k}.good{k}.co.uk", False) for k in range(40)] + [("new.bad.co.uk:81", None), ("new.other.co.uk", None), (None, None)]
+    got = {r.host: r for r in urlrep.reputation(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
+    assert got["new.bad.co.uk:81"].block and not got["new.other.co.uk"].block and len(got) == 83
+
+
 A = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KINDS = {"assign": A, "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")} | {r.kind: re.compile(r.pattern) for r in secretscan.MORE}
 KEEP = {r.kind: re.compile(r.keep) for r in secretscan.MORE if r.keep}
@@ -258,6 +272,51 @@ def test_licences_in_any_layout(spark):
         assert len(known.identifiers(text)) == 1, text
 
 
+def plain_licences(text):
+    """Each known sentence as a regex over the words between every two places where sentences may begin and end. The longest
+    counts, of equals the one with fewer names; a name in front lies within its line."""
+    known = licenses.Recogniser().known
+    text = licenses.MARKS.sub("", (text or "").replace("\r\n", "\n").replace("\r", "\n"))
+    words, starts = [], []
+    for piece in re.split(r"((?<=[.;:!?])\s+|[^\S\n]*\n\s*)", text):
+        here = re.findall("[a-z0-9]+", piece.lower())
+        if here:
+            starts.append(len(words))
+            words += here
+    ends, found, k = [*starts[1:], len(words)], [], 0
+    patterns = [(re.compile(" ".join(r"(\S+(?: \S+){0,11}?)" if w == "<>" else w for w in s.split())), s, i) for s, i in sorted(known.items(), key=lambda x: x[0].count("<>"))]
+    longest = max(len(s.split()) + 12 * s.count("<>") for s in known)
+    while k < len(starts):
+        best = None
+        for n in range(k, len(ends)):
+            if ends[n] - starts[k] > longest:
+                break
+            span = " ".join(words[starts[k] : ends[n]])
+            fits = ((p.fullmatch(span), s, i) for p, s, i in patterns)
+            best = next(((n, i) for m, s, i in fits if m and not (s.startswith("<>") and len(m[1].split()) > ends[k] - starts[k])), best)
+        if best:
+            found.append((k, best[0], best[1]))
+        k = best[0] + 1 if best else k + 1
+    names, k = [], 0
+    while k < len(found):
+        fits = [(len(r), -j, n) for j, (n, r) in enumerate(licenses.RULES) if tuple(x[2] for x in found[k : k + len(r)]) == r]
+        length, _, name = max(fits, default=(1, 0, None))
+        names += [name] if name else []
+        k += length
+    return len(found), ",".join(x[2] for x in found), ",".join(sorted(set(names)))
+
+
+def test_licence_columns_match_a_plain_matcher(spark, sf, odd):
+    """All three columns, of texts without SPDX lines and whose rules lie close together."""
+    S = licenses.SENTENCES
+    r = random.Random(5)
+    lines = [x.replace("<>", "Example, Inc.") for x in (*S.values(), *list(licenses.MADE)[::9])] + ["Some prose here.", "All of it; more", "and lower case", "x"]
+    rows = [(k, r.choice(["\n", " ", "\n\n"]).join(r.choice(lines) for _ in range(r.randrange(1, 7)))) for k in range(60)]
+    for df in (documents(spark, sf).select("doc_id", "text"), spark.createDataFrame(rows, "doc_id long, text string"), odd.where("doc_id IS NULL OR doc_id <> 9").select("doc_id", "text")):
+        got = Counter((x.doc_id, x.n_known, x.sentence_ids, x.licenses) for x in licenses.scan_licenses(df).collect())
+        assert got == Counter((x.doc_id, *plain_licences(x.text)) for x in df.collect())
+
+
 def test_every_planted_licence_line_is_found(spark, sf):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "All rights reserved.": "Proprietary"}
     docs = documents(spark, "/root/testdata/sf0.01")
@@ -313,6 +372,66 @@ def test_media_columns(spark, sf, odd, none):
     assert media.features(media.store(none)).count() == 0
 
 
+def plain_png(data):
+    """Pixels of an 8-bit greyscale image, byte by byte."""
+    at, parts = 8, []
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        parts.append((kind, body))
+        at += 12 + n
+    assert [k for k, _ in parts] == [b"IHDR", b"IDAT", b"IEND"] and parts[0][1][8:] == bytes([8, 0, 0, 0, 0])
+    width, height = (int.from_bytes(parts[0][1][k : k + 4], "big") for k in (0, 4))
+    raw, rows = zlib.decompress(parts[1][1]), []
+    for y in range(height):
+        kind, line = raw[y * (width + 1)], raw[y * (width + 1) + 1 : (y + 1) * (width + 1)]
+        row = []
+        for x, b in enumerate(line):
+            row.append(b + (0, row[x - 1] if x else 0, rows[-1][x] if y else 0)[kind] & 255)
+        rows.append(row)
+    return rows
+
+
+def plain_hash(rows):
+    """Means of 32 x 32 cells, their 64 lowest cosines by the definition, and which lie above the lower median."""
+    import math
+
+    def cells(line):  # along one direction, in whole numbers
+        n = len(line)
+        spans = [(k * n // 32, max(k * n // 32 + 1, (k + 1) * n // 32)) for k in range(32)]
+        return [[sum(line[i][j] for i in range(a, b)) * 256 // (b - a) for j in range(len(line[0]))] for a, b in spans]
+
+    down = cells(rows)
+    small = [[v // 256 for v in line] for line in zip(*cells([list(c) for c in zip(*down, strict=True)]), strict=True)]
+    wave = [[round(math.cos(math.pi * (2 * x + 1) * k / 64) * 4096) for x in range(32)] for k in range(8)]
+    low = [sum(wave[u][y] * wave[v][x] * small[y][x] for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(low)[31]
+    return f"{int(''.join('01'[v > middle] for v in low), 2):016x}"
+
+
+def test_media_columns_match_a_plain_reader(spark, sf, odd):
+    """Payload, stored form and feature from nothing but the text, zlib and the definition."""
+    for df in (documents(spark, sf).where("length(text) < 3000"), odd.where("doc_id IS NULL OR doc_id <> 9")):
+        stored = media.store(df).cache()
+        images = defaultdict(set)
+        for r in stored.collect():
+            images[r.doc_id, r.n_bytes].add(bytes(r.media))
+        texts = Counter((r.doc_id, (r.text or "").encode()) for r in df.collect())
+        got = media.features(stored).collect()
+        assert Counter((r.doc_id, r.n_bytes) for r in got) == Counter({k: sum(n for (d, t), n in texts.items() if (d, len(t)) == k) for k in {(d, len(t)) for d, t in texts}})
+        made = {(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in got}
+        want = set()
+        for d, t in texts:
+            payload = t + b"\0" * (64 if not t else -len(t) % 64)
+            for image in images[d, len(t)]:
+                rows = plain_png(image)
+                assert bytes(x for line in rows for x in line) == payload
+                want.add((d, len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), plain_hash(rows)))
+        assert made == want
+        stored.unpersist()
+
+
 def test_similar_images_have_similar_hashes():
     image = np.kron(np.random.default_rng(4).integers(20, 230, (8, 8)), np.ones((25, 20), int)).astype(np.uint8)
     noisy = np.clip(image.astype(int) + np.random.default_rng(1).integers(-8, 9, image.shape), 0, 255).astype(np.uint8)
