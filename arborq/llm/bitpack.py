@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborq.llm import common
-from arborq.llm.tokenizing import encoder, tokenizer_path
+from arborq.llm.tokenizing import MORE_WORDS, encoder, tokenizer_path
 
 MAGIC, VERSION, BLOCK, LANES = b"AQID", 1, 4096, 64
 #: A chunk is closed once it has so many ids; only a document longer than that makes a larger one.
@@ -148,7 +148,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, shard = encoder(tokenizer, MORE_WORDS), TaskContext.get().partitionId()
         width, end = width_for(max(enc.vocabulary, end_id + 1)), np.array([end_id], np.uint32)
         held, doc_ids, n, chunk, first = [], [], 0, 0, 0
 

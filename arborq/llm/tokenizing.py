@@ -26,7 +26,8 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f\u2010-\u2027]").search
 #: What may stand in plain text.
 PLAIN = "".join(map(chr, [9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x250), *range(0x2010, 0x2028)]))
-KEPT_WORDS, LONGEST = 150_000, 64
+#: How many pre-tokens a worker keeps where other stages' memory stays with its executor, and where encoding is all there is.
+KEPT_WORDS, MORE_WORDS, LONGEST = 150_000, 400_000, 64
 
 
 def ranges(kind: str) -> str:
@@ -59,15 +60,16 @@ AS_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in S
 
 
 class _Ids(dict):
-    """Pre-token to the bytes of its ids (unsigned, little-endian, 32 bits); holds at most KEPT_WORDS of them."""
+    """Pre-token to the bytes of its ids (unsigned, little-endian, 32 bits); holds at most `kept` of them."""
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, tokenizer: Tokenizer, kept: int):
         super().__init__()
+        self.kept = kept
         self.split = tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
         ids = le_bytes([t.id for t in self.split(word.encode().decode("latin-1").translate(AS_SHOWN))])
-        if len(self) < KEPT_WORDS and len(word) <= LONGEST:
+        if len(self) < self.kept and len(word) <= LONGEST:
             self[word] = ids
         return ids
 
@@ -79,14 +81,14 @@ def le_bytes(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         spec = json.loads(self.tokenizer.to_str())
         added = [regex.escape(x["content"]) for x in spec.get("added_tokens") or []]
         self.special = regex.compile("|".join(added)) if added else None
         self.lower, self.find = self._splitter(spec)
-        self.ids = _Ids(self.tokenizer)
+        self.ids = _Ids(self.tokenizer, kept)
 
     @staticmethod
     def _splitter(spec: dict):
@@ -112,14 +114,14 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, kept: int) -> Encoder:
+    return Encoder(path, kept)
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
-    found = _encoder(path)
-    common.keeps(f"ids {path}", _encoder.cache_clear)
+def encoder(path: str, kept: int = KEPT_WORDS) -> Encoder:
+    """One for each worker process, file and number of kept pre-tokens."""
+    found = _encoder(path, kept)
+    common.keeps(f"ids {path} {kept}", _encoder.cache_clear)
     return found
 
 
