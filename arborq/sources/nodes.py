@@ -527,13 +527,23 @@ def stable_id(kind: Column, path: Column) -> Column:
     return F.xxhash64(kind, path)
 
 
+def source_path(nodes: DataFrame) -> Column:
+    """The path of a node's container: path_text without its last step, as step_text() writes it. A key in brackets is JSON
+    text, where some characters take two places or six; no plain key ends in a quotation mark and a bracket."""
+    quoted = F.length(F.regexp_replace(F.regexp_replace("key", r"[\x00-\x07\x0B\x0E-\x1F]", "000000"), r'["\\\x08-\x0A\x0C\x0D]', "00")) + 4
+    named = F.when(F.endswith(F.col("path_text"), F.lit('"]')), quoted).otherwise(F.length("key") + 1)
+    step = F.coalesce(named, F.length(F.col("seq_index").cast("string")) + 2) if "seq_index" in nodes.columns else named
+    return F.left("path_text", F.length("path_text") - step)
+
+
 def graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Graph nodes (containers that are not empty, and roots) and edges from a container to those within it."""
+    """Graph nodes (containers that are not empty, and roots) and edges from a container to those within it. An edge is read
+    off its target's row: a join with the containers would be as large as they are, on the driver if it were broadcast."""
     shaped = shape_of(nodes)
     kept = shaped.where("shape <> 'scalar' OR parent_id IS NULL")
     out = kept.select("doc_id", "node_id", "shape", "path_text", stable_id(F.col("shape"), F.col("path_text")).alias("graph_id"), "depth")
-    up = kept.select("doc_id", F.col("node_id").alias("parent_id"), F.col("path_text").alias("source"))
-    edges = kept.where("parent_id IS NOT NULL").select("doc_id", "parent_id", F.col("path_text").alias("target"), F.coalesce("key", F.col("seq_index").cast("string") if "seq_index" in nodes.columns else F.lit(None)).alias("label")).join(up, ["doc_id", "parent_id"]).select("doc_id", "source", "target", "label")
+    label = F.coalesce("key", F.col("seq_index").cast("string") if "seq_index" in nodes.columns else F.lit(None))
+    edges = kept.where("parent_id IS NOT NULL").select("doc_id", source_path(nodes).alias("source"), F.col("path_text").alias("target"), label.alias("label"))
     return out, edges
 
 

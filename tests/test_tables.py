@@ -1,5 +1,7 @@
 """The compilers against the document evaluator, the queries against their SQL, and the tables made from documents."""
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +189,23 @@ def test_diff_aligns_sequences(spark):
         got[r.doc_id].add((r.path_text, r.op))
     assert got == [v[2] for v in versions]
     assert {r.doc_id for r in nodes.same_structure(old, new).where("same").collect()} == {4, 6}
+
+
+ODD_KEYS = ["a", "b c", "", ".", "x.y", '"]', '.a"]', "tab\there", "\u0001\u001f", "\u007f", "back\\slash", "[0]", "né", "😀", "q\"uote", "/"]
+
+
+def test_edges_come_from_their_targets_alone(spark):
+    """At every depth, under any key, also for null doc_ids; no join, whose one side a small file would send to the driver."""
+    value = [1, {}, []]
+    for key in ODD_KEYS:
+        value = {key: [0, value, {key: {key: 1}}]}
+    df = spark.createDataFrame([(1, json.dumps(value)), (None, json.dumps({"a": [[1]]})), (2, "[]")], "doc_id long, text string")
+    for places in (False, True):
+        table = nodes.node_table(df, places=places)
+        _, edges = nodes.graph(table)
+        rows = table.collect()
+        by_id = {(r["doc_id"], r["node_id"]): r for r in rows}
+        want = [(r["doc_id"], by_id[r["doc_id"], r["parent_id"]]["path_text"], r["path_text"], r["key"] if r["key"] is not None else str(r["seq_index"])) for r in rows if r["parent_id"] is not None and r["kind"] != "scalar" and r["subtree_end"] > r["preorder"]]
+        assert len(want) > 4 * len(ODD_KEYS)
+        assert sorted(map(tuple, edges.collect()), key=str) == sorted(want, key=str)
+        assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()
