@@ -245,7 +245,7 @@ def diff_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     element = lambda x: F.concat(F.lit('{"k":'), F.col("k"), F.lit(f',"n":{x}}}'))
     old = F.concat(F.lit('{"a":['), *[p for x in range(4) for p in (element(x), F.lit(","))], F.lit('"end"],"b":[1,2]}'))
     new = F.concat(F.lit('{"b":[1,3],"a":["front",'), *[p for x in range(4) for p in (element(x), F.lit("," if x < 3 else "]}"))])
-    return nodes.diff(nodes.node_table(o.select("doc_id", old.alias("text")), places=False), nodes.node_table(o.select("doc_id", new.alias("text")), places=False))
+    return nodes.diff_texts(o.select("doc_id", old.alias("text")), o.select("doc_id", new.alias("text")))
 
 
 def same_structure(spark: SparkSession, sf_dir: str) -> DataFrame:

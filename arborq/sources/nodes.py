@@ -396,6 +396,140 @@ def diff_sequences(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.cogroup(b).applyInArrow(compare, DIFF_DDL)
 
 
+class NOTHING:
+    """Stands itself for a value that one version lacks: a class is the same one in every process."""
+
+
+def members(x) -> list[tuple]:
+    """A container's steps and values."""
+    return list(enumerate(x)) if type(x) is list else x if type(x) is Pairs else list(x.items())
+
+
+def about(x) -> tuple[str, str, str | None]:
+    """Kind, tag and value as a node table has them."""
+    kind = type(x)
+    named, tag = KINDS.get(kind) or (V.kind(x), V.tag(x))
+    if named != "scalar":
+        return named, tag, None
+    return named, tag, "null" if x is None else ("true" if x else "false") if kind is bool else str(x) if kind in (Whole, Fraction, str) else V.text(x)
+
+
+def holds(x) -> bool:
+    kind = type(x)
+    return kind is Pairs or kind is list or (KINDS.get(kind) or (V.kind(x),))[0] != "scalar"
+
+
+def key_of(step) -> str | None:
+    return None if type(step) is int else step
+
+
+class Numbers(dict):
+    """Numbers of contents, equal for equal ones; of containers kept by their objects, which must stay."""
+
+    def __init__(self):
+        self.own: dict[int, int] = {}
+
+    def of(self, x) -> int:
+        k = self.own.get(id(x))
+        if k is not None:
+            return k
+        kind = type(x)
+        return self.setdefault((kind, x) if kind in (str, Whole, Fraction) else about(x), len(self))
+
+    def add(self, root) -> None:
+        inner = [root] if holds(root) else []
+        for x in inner:  # what is below comes behind
+            inner += [y for y in (x if type(x) is list else [y for _, y in members(x)]) if holds(y)]
+        for x in reversed(inner):
+            what = about(x)
+            below = sorted((key_of(k) or "", self.of(y)) for k, y in members(x)) if what[0] == "map" else [self.of(y) for y in x]
+            self.own[id(x)] = self.setdefault((*what, tuple(below)), len(self))
+
+
+def keyed_members(x) -> dict:
+    """Members of a mapping by key, as Side.keyed()."""
+    out: dict = {}
+    for step, y in members(x):
+        again = 0
+        while (key_of(step), again) in out:
+            again += 1
+        out[key_of(step), again] = (y, step_text(step))
+    return out
+
+
+def all_below(x, shown: str) -> Iterator[tuple[str, str | None]]:
+    todo = [(x, shown)]
+    while todo:
+        x, shown = todo.pop()
+        what = about(x)
+        yield shown, what[2]
+        if what[0] != "scalar":
+            todo += [(y, shown + step_text(k)) for k, y in members(x)]
+
+
+def diff_values(a, b) -> Iterator[tuple]:
+    """diff_trees() of two decoded values, either of which may be NOTHING. No recursion."""
+    numbers = Numbers()
+    for x in (a, b):
+        if x is not NOTHING:
+            numbers.add(x)
+    todo = [(a, b, "$", "$")]
+    while todo:
+        x, y, p, q = todo.pop()
+        if x is NOTHING or y is NOTHING:
+            if x is not NOTHING:
+                yield from ((path, "delete", v, None) for path, v in all_below(x, p))
+            if y is not NOTHING:
+                yield from ((path, "insert", None, v) for path, v in all_below(y, q))
+            continue
+        if numbers.of(x) == numbers.of(y):
+            continue
+        old, new = about(x), about(y)
+        if old[1:] != new[1:]:
+            yield q, "change", old[2], new[2]
+        if old[0] == new[0] == "map":
+            left, right = keyed_members(x), keyed_members(y)
+            for k in {**left, **right}:
+                (u, s), (v, t) = left.get(k, (NOTHING, "")), right.get(k, (NOTHING, ""))
+                todo.append((u, v, p + s, q + t))
+        elif old[0] == new[0] == "seq":
+            gone, come, _ = aligned([numbers.of(u) for u in x], [numbers.of(v) for v in y])
+            for i, j in itertools.zip_longest(gone, come):
+                if i is not None and i == j:
+                    todo.append((x[i], y[j], f"{p}[{i}]", f"{q}[{j}]"))
+                    continue
+                if i is not None:
+                    todo.append((x[i], NOTHING, f"{p}[{i}]", ""))
+                if j is not None:
+                    todo.append((NOTHING, y[j], "", f"{q}[{j}]"))
+        else:
+            todo += [(u, NOTHING, p + step_text(k), "") for k, u in (members(x) if old[0] != "scalar" else ())]
+            todo += [(NOTHING, v, "", q + step_text(k)) for k, v in (members(y) if new[0] != "scalar" else ())]
+
+
+def diff_texts(old: DataFrame, new: DataFrame, source: str = "json") -> DataFrame:
+    """diff() of the node tables (without places) of two tables (doc_id, text), straight from the texts: these are joined,
+    and both versions decoded and compared where they meet. What travels is a row a document, not one a node, and Python
+    gets documents by the batch, not one by one. Texts that do not decode count as missing; repeated doc_ids meet each with
+    each."""
+    name = codecs.format_named(source)
+
+    def decoded(text: str | None):
+        try:
+            return NOTHING if text is None else plain_json(text) if name == "json" else codecs.decode(text, name)
+        except (ValueError, RecursionError):
+            return NOTHING
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, *r) for d, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) if a != b for r in diff_values(decoded(a), decoded(b))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), DIFF, strict=True)], schema=DIFF)
+
+    side = lambda df, n: df.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias(n))
+    return side(old, "a").join(side(new, "b"), "doc_id", "full").mapInArrow(compare, DIFF_DDL)
+
+
 def same_structure(old: DataFrame, new: DataFrame) -> DataFrame:
     """Each document that both have, and whether it is equal in both."""
     ids = old.select("doc_id").distinct().join(new.select("doc_id").distinct(), "doc_id")

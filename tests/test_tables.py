@@ -1,6 +1,7 @@
 """The compilers against the document evaluator, the queries against their SQL, and the tables made from documents."""
 
 import json
+import random
 
 import duckdb
 import pytest
@@ -209,3 +210,37 @@ def test_edges_come_from_their_targets_alone(spark):
         assert len(want) > 4 * len(ODD_KEYS)
         assert sorted(map(tuple, edges.collect()), key=str) == sorted(want, key=str)
         assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def random_value(rng, depth):
+    kind = rng.randrange(8 if depth else 6)
+    if kind > 5:
+        inner = [random_value(rng, depth - 1) for _ in range(rng.randrange(4))]
+        return inner if kind == 6 else {rng.choice("ab.") * rng.randrange(3): v for v in inner}
+    return rng.choice([None, True, 1, 1.5, "1", "x", "true", "", [], {}])
+
+
+def test_texts_differ_as_their_node_tables_do(spark):
+    rng = random.Random(7)
+    texts = [[json.dumps(random_value(rng, 4)) for _ in range(2)] for _ in range(400)]
+    texts += [['{"a":1,"a":[2]}', '{"a":[2],"a":1}'], ["[1", "[1]"], [None, "{}"], ["[" * 900 + "]" * 900, "[" * 901 + "]" * 901], ["1", " 1"]]
+    old, new = (spark.createDataFrame([(k, v[side]) for k, v in enumerate(texts) if k % 9 != 3 + side], "doc_id long, text string") for side in (0, 1))
+    nulls = spark.createDataFrame([(None, "[5]")], old.schema)
+    old, new = old.union(nulls), new.union(nulls)
+    for source in ("json", "yaml"):
+        if source == "yaml":
+            old, new = (df.where("doc_id < 60 OR doc_id IS NULL") for df in (old, new))
+        want = sorted(map(str, nodes.diff(nodes.node_table(old, source, places=False), nodes.node_table(new, source, places=False)).collect()))
+        assert sorted(map(str, nodes.diff_texts(old, new, source).collect())) == want and len(want) > 50
+
+
+def test_many_small_documents_are_compared_by_the_batch(spark):
+    """A call of Python for each document took most of the time."""
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.format_string('{"a":[%d,{"b":1}]}', "id").alias("text"))
+    out = nodes.diff_texts(df, df.select("doc_id", F.regexp_replace("text", '"b":1', '"b":2').alias("text")))
+    assert "CoGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.groupBy("path_text", "op", "value_old", "value_new").count().collect()] == [("$.a[1].b", "change", "1", "2", 100_000)]
+
+
+def test_the_query_of_differing_sequences_compares_by_the_batch(spark, sf):
+    assert "CoGroups" not in queries.QUERIES["diff_sequences"](spark, sf)._jdf.queryExecution().executedPlan().toString()
