@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborq.llm import common
-from arborq.llm.components import components
+from arborq.llm.components import settled
 
 N = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
@@ -503,7 +503,7 @@ def likeliest(rows: DataFrame, low: int, high: int) -> DataFrame:
 def closed(docs: DataFrame, groups: DataFrame, known: DataFrame, sketches: DataFrame) -> DataFrame:
     """(node, component) by all links, from the pairs that the stars had verified."""
     linked = links(known)
-    parts = components(linked)
+    parts = settled(linked)
     rows = common.cut(open_rows(groups, parts, known))
     done, low, high = known.select("a", "b"), 0, LIKELIEST
     sizes = sketches.select("doc", F.col("size").cast("int").alias("size"), "sketch")
@@ -514,7 +514,7 @@ def closed(docs: DataFrame, groups: DataFrame, known: DataFrame, sketches: DataF
         if not pairs.isEmpty():
             more = verify(docs, pairs.distinct().join(done, ["a", "b"], "left_anti"), sketches)
             linked, done = linked.union(links(more)), done.union(pairs)
-            parts = components(linked)
+            parts = settled(linked)
         rows = rows.join(found.where("a IS NULL").select("token").distinct(), "token", "left_semi")
         low, high = high, high * GROWTH
     return parts

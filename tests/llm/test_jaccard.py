@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from arborq.llm import jaccard
+from arborq.llm import components as parts
 from arborq.llm.components import components
 
 
@@ -193,3 +194,28 @@ def test_hashes_of_words_do_not_depend_on_how_texts_are_cut(monkeypatch):
         monkeypatch.setattr(jaccard, "AT_ONCE", size)
         got = list(jaccard.hashed_texts(pa.array(["skipped", *texts])[1:]))
         assert all(a[0] == b[0] and (a[1] == b[1]).all() for a, b in zip(got, want, strict=True))
+
+
+def test_few_edges_take_few_tasks(spark, monkeypatch):
+    """One task and a look at its file, however many shuffle partitions there are; more edges than that go to the stars."""
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(k, k + 1) for k in range(900, 1000)] + [(1, 1), (None, 2), (5, None)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(40).localCheckpoint()
+    want = sorted(map(tuple, components(table).collect()))
+    spark.sparkContext.setJobGroup("few", "")
+    got = parts.settled(table)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few")
+    spark.sparkContext.setJobGroup("", "")
+    tasks = sum(spark.sparkContext.statusTracker().getStageInfo(s).numTasks for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds)
+    assert sorted(map(tuple, got.collect())) == want and tasks <= 4
+    monkeypatch.setattr(parts, "FEW", 100)
+    assert sorted(map(tuple, parts.settled(table).collect())) == want
+    assert parts.settled(table.where("a < 0")).count() == 0
+
+
+def test_components_of_many_links_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(parts, "FEW", 0)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[k % 4 : 40 + k % 4 * 5])) for k in range(24)]
+    got = sorted(map(tuple, jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute(rows)
